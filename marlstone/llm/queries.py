@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import copies, pieces, spellings
+from marlstone.llm import communities, copies, nearest, pieces, spellings
 from marlstone.runtime import read_table
 
 
@@ -34,7 +34,23 @@ def p4_links(spark, d):
     return spellings.linked(read_table(spark, d, "jobs"), "agency")
 
 
-QUERIES = {"p4_found": p4_found, "p4_links": p4_links, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_groups": p6_groups}
+def p5_found(spark, d):
+    return nearest.close_pairs(read_table(spark, d, "vector_index"))
+
+
+def p5_neighbours(spark, d):
+    return nearest.neighbours(read_table(spark, d, "vector_index"))
+
+
+def p1_found(spark, d):
+    return communities.wrong(read_table(spark, d, "vector_index"), read_table(spark, d, "clusters"))
+
+
+def p1_communities(spark, d):
+    return communities.described(communities.members(read_table(spark, d, "vector_index")))
+
+
+QUERIES = {"p1_found": p1_found, "p1_communities": p1_communities, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p4_found": p4_found, "p4_links": p4_links, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_groups": p6_groups}
 
 _STRIP = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 _NAMED = r"CASE WHEN ltrim(payload) LIKE '{{%' THEN json_extract_string(lower(payload), '$.{0}') ELSE regexp_extract(lower(payload), '(^|\|)\s*{0}\s*=([^|]*)', 2) END"
