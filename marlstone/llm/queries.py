@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import communities, copies, nearest, pieces, spellings
+from marlstone.llm import communities, copies, languages, leaks, nearest, packing, pieces, spellings
 from marlstone.runtime import read_table
 
 
@@ -50,7 +50,27 @@ def p1_communities(spark, d):
     return communities.described(communities.members(read_table(spark, d, "vector_index")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_communities": p1_communities, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p4_found": p4_found, "p4_links": p4_links, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_groups": p6_groups}
+def p7_containers(spark, d):
+    return packing.packed(read_table(spark, d, "documents"))
+
+
+def p8_found(spark, d):
+    return leaks.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+
+
+def p9_found(spark, d):
+    return languages.mislabelled(read_table(spark, d, "documents"))
+
+
+def p9_segments(spark, d):
+    return languages.segments(read_table(spark, d, "documents"))
+
+
+def p9_documents(spark, d):
+    return languages.documents(read_table(spark, d, "documents"))
+
+
+QUERIES = {"p7_containers": p7_containers, "p8_found": p8_found, "p9_found": p9_found, "p9_segments": p9_segments, "p9_documents": p9_documents, "p1_found": p1_found, "p1_communities": p1_communities, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p4_found": p4_found, "p4_links": p4_links, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_groups": p6_groups}
 
 _STRIP = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 _NAMED = r"CASE WHEN ltrim(payload) LIKE '{{%' THEN json_extract_string(lower(payload), '$.{0}') ELSE regexp_extract(lower(payload), '(^|\|)\s*{0}\s*=([^|]*)', 2) END"
