@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +33,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _roots[app]
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of the application, once."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    here = Path(__file__).resolve().parent
+    if not here.is_dir():  # already inside a shipped archive
+        return
+    out = os.path.join(tempfile.mkdtemp(prefix="marlstone-code-"), "marlstone.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    spark.sparkContext.addPyFile(out)
+
+
 def _remove_quietly(spark: SparkSession, path: str) -> None:
     try:
         remove(spark, path)
