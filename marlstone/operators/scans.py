@@ -93,7 +93,7 @@ def cursor_page(df: DataFrame, key: str, limit: int = PAGE_SIZE, cursor: Any = N
     got = [r[0] for r in keys.collect()]
     after = got[limit] if len(got) > limit else None
     page = got[:limit]
-    rows = range_scan(df, key, page[0], after).orderBy(key).limit(limit).collect() if page else []
+    rows = range_scan(df, key, page[0], end if after is None else after).orderBy(key).limit(limit).collect() if page else []
     return CursorPage(rows, after)
 
 

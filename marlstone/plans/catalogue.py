@@ -412,9 +412,9 @@ def filtered_topk_semi(spark, d):
     return exact.top_k(e, "vec_id", "embedding", _vec(spark, d), 10, match(e, "label = 3", {"label": "int"})).select("vec_id")
 
 
-@query("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5)) AS u FROM embeddings")
+@query("SELECT vec_id, list_transform(embedding, lambda x: CAST(round(x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * 100000) AS BIGINT)) AS u FROM embeddings")
 def l2_normalise(spark, d):
-    return read_table(spark, d, "embeddings").select("vec_id", F.transform(fv.l2_normalise(F.col("embedding")), lambda x: F.round(x, 5)).alias("u"))
+    return read_table(spark, d, "embeddings").select("vec_id", F.transform(fv.l2_normalise(F.col("embedding")), lambda x: F.round(x * 100_000).cast("bigint")).alias("u"))
 
 
 @query("""SELECT vec_id, list_transform(embedding, lambda x: CAST(floor((x::DOUBLE - list_min(embedding)::DOUBLE) / ((list_max(embedding)::DOUBLE - list_min(embedding)::DOUBLE) / 15) + 0.5) AS INTEGER)) AS levels FROM embeddings""")
