@@ -74,7 +74,7 @@ def overlap_start(text: str, low: int, end: int, overlap: int) -> int:
     A run without any white space there is repeated by characters.
     """
     at = max(low, end - overlap)
-    if at > low and not text[at - 1].isspace() and not text[at].isspace():
+    if low < at < end and not text[at - 1].isspace() and not text[at].isspace():
         m = re.compile(r"\s+").search(text, at, end)
         if m and m.end() < end:
             return m.end()
