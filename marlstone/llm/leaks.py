@@ -31,6 +31,7 @@ COSINE = 0.55  # least latent cosine of a candidate
 PART, DIFFER = 2, 10  # at least 1/PART of the item's words, at most 1 in DIFFER differs
 BAND = 7  # words that may be missing or added on the way
 ITEMS = 4000  # items that are searched in one pass; more are searched in blocks
+BATCH = 200  # texts whose running sums are taken at once, in single precision
 SLICES = 16  # in which partial sums of the decomposition are added up
 MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|&(?:[A-Za-z]{2,8}|#\d{1,6}|#x[0-9A-Fa-f]{1,6});|[\u00ad\u200b-\u200d\u2060\ufeff]")
 WORD = re.compile(r"[^\W_]+")
@@ -77,18 +78,20 @@ class Passages:
         self.owner = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
         self.begin = (np.concatenate(starts) if starts else np.zeros(0, np.int64)) + base[self.owner]
         self.end = np.minimum(self.begin + width, base[self.owner + 1])
+        full = self.end > self.begin
+        self.owner, self.begin, self.end = self.owner[full], self.begin[full], self.end[full]
 
-    def project(self, basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        """TF-IDF rows times ``basis``: running sums make every passage two look-ups."""
-        run = np.zeros((len(self.words) + 1, basis.shape[1]))
-        np.cumsum(basis[self.dims] * idf[self.dims, None], axis=0, out=run[1:])
+    def project(self, weighted: np.ndarray) -> np.ndarray:
+        """TF-IDF rows times a basis that already carries the IDF weights: running sums make every passage two look-ups."""
+        run = np.zeros((len(self.words) + 1, weighted.shape[1]), np.float32)
+        np.cumsum(weighted[self.dims], axis=0, out=run[1:])
         return run[self.end] - run[self.begin]
 
-    def back(self, z: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        """The transposed TF-IDF matrix times ``z``."""
-        mark = np.zeros((len(self.words) + 1, z.shape[1]))
-        np.add.at(mark, self.begin, z)
-        np.subtract.at(mark, self.end, z)
+    def back(self, z: np.ndarray) -> np.ndarray:
+        """The transposed term-frequency matrix times ``z``."""
+        mark = np.zeros((len(self.words) + 1, z.shape[1]), np.float32)
+        mark[self.begin] += z  # no two passages begin, or end, at the same word
+        mark[self.end] -= z
         per = np.cumsum(mark, axis=0)[:-1]
         order = np.argsort(self.dims, kind="stable")
         d = self.dims[order]
@@ -96,7 +99,7 @@ class Passages:
         if len(d):
             first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
             out[d[first]] = np.add.reduceat(per[order], first, axis=0)
-        return out * idf[:, None]
+        return out
 
 
 def _texts(column) -> list[np.ndarray]:
@@ -134,23 +137,23 @@ def document_frequency(docs: DataFrame) -> np.ndarray:
 
 def latent_basis(docs: DataFrame, items: list[np.ndarray], idf: np.ndarray, width: int, step: int) -> np.ndarray:
     """An orthonormal basis (DIMS x RANK) of the range of A'A by one pass of a randomised range finder over all passages."""
-    start = np.random.default_rng(3).standard_normal((DIMS, RANK))
+    start = (np.random.default_rng(3).standard_normal((DIMS, RANK)) * idf[:, None]).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((DIMS, RANK))
         for b in batches:
             texts = _texts(b.column("w"))
-            for at in range(0, len(texts), 500):
-                p = Passages(texts[at : at + 500], width, step)
-                total += p.back(p.project(start, idf), idf)
-        yield _sliced(total)
+            for at in range(0, len(texts), BATCH):
+                p = Passages(texts[at : at + BATCH], width, step)
+                total += p.back(p.project(start))
+        yield _sliced(total * idf[:, None])
 
     corpus = _summed(docs.select("w").mapInArrow(run, "slice int, part binary"), RANK)
     p = Passages(items, width, step)
-    own = p.back(p.project(start, idf), idf)
+    own = p.back(p.project(start)) * idf[:, None]
     scale = lambda m: m / (np.sqrt((m**2).sum()) or 1.0)
     q, _ = np.linalg.qr(scale(corpus) + scale(own))
-    return q.astype(np.float32)
+    return q
 
 
 def _unit(z: np.ndarray) -> np.ndarray:
@@ -241,9 +244,9 @@ class Items:
             o = np.argsort(g, kind="stable")
             self.runs[k] = (g[o], i[o], at[o])
 
-    def latent(self, basis: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def latent(self, weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p = Passages(self.texts, self.width, max(1, self.step // 3))
-        return _unit(p.project(basis, idf)), p.owner
+        return _unit(p.project(weighted)), p.owner
 
     def leaked(self, doc: np.ndarray, candidates: np.ndarray) -> list[int]:
         """Ids of the candidate items (rows, as mask) of which the document holds a stretch that counts."""
@@ -284,21 +287,21 @@ def leaks(docs: DataFrame, items: DataFrame, cosine: float = COSINE) -> DataFram
     for at in range(0, len(given), ITEMS):
         block = given[at : at + ITEMS]
         it = Items([i for i, _ in block], [w for _, w in block])
-        basis = latent_basis(hashes, it.texts, idf, it.width, it.step)
-        latent, owner = it.latent(basis, idf)
-        shared = spark.sparkContext.broadcast((it, basis, idf, latent, owner))  # bounded by ITEMS and DIMS x RANK
+        weighted = (latent_basis(hashes, it.texts, idf, it.width, it.step) * idf[:, None]).astype(np.float32)
+        latent, owner = it.latent(weighted)
+        shared = spark.sparkContext.broadcast((it, weighted, latent, owner))  # bounded by ITEMS and DIMS x RANK
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            it, basis, idf, latent, owner = shared.value
+            it, weighted, latent, owner = shared.value
             first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             which = owner[first]
             for b in batches:
                 ids, texts = b.column("doc_id").to_pylist(), _texts(b.column("w"))
                 got = []
-                for lo in range(0, len(texts), 200):
-                    part = texts[lo : lo + 200]
+                for lo in range(0, len(texts), BATCH):
+                    part = texts[lo : lo + BATCH]
                     p = Passages(part, it.width, it.step)
-                    z = _unit(p.project(basis, idf))
+                    z = _unit(p.project(weighted))
                     hits: dict[int, np.ndarray] = {}
                     for c in range(0, len(z), 1024):
                         s = z[c : c + 1024] @ latent.T
