@@ -92,8 +92,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cores(spark: SparkSession) -> int:
-    return max(1, spark.sparkContext.defaultParallelism)
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition for each core, for operators that spend far more on a row than moving it costs.
+
+    Large inputs have more partitions than that and stay as they are.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
 def hot_keys(counts: DataFrame, key: str, count: str, shares: int = 256) -> DataFrame:
