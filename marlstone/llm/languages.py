@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marlstone.runtime import spread
+
 #: Usual codes and names of languages.
 NAMES = {
     "en": "en eng english",
@@ -235,7 +237,7 @@ def segments(docs: DataFrame, model: Filter | None = None) -> DataFrame:
                 yield pd.DataFrame(out, columns=["doc_id", "begin", "end", "seg_lang", "confidence", "whole"])
 
     rows = docs.select("doc_id", "text").where("text is not null and doc_id is not null")
-    return rows.mapInPandas(run, "doc_id bigint, begin int, end int, seg_lang string, confidence double, whole boolean")
+    return spread(rows).mapInPandas(run, "doc_id bigint, begin int, end int, seg_lang string, confidence double, whole boolean")
 
 
 def documents(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.runtime import Table
+from marlstone.runtime import Table, spread
 
 DIMS = 1 << 14  # hashed vocabulary
 RANK = 64
@@ -55,7 +55,7 @@ def hashed_words(docs: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "w": [hashed(t).tobytes() for t in pdf["text"]]})
 
-    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInPandas(run, "doc_id bigint, w binary")
+    return spread(docs.select("doc_id", "text").where("doc_id is not null and text is not null")).mapInPandas(run, "doc_id bigint, w binary")
 
 
 def window_starts(n: int, width: int, step: int) -> np.ndarray:

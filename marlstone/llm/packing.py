@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marlstone.runtime import Table
+from marlstone.runtime import Table, spread
 
 CAPACITY = 2048
 TIERS = 6
@@ -54,7 +54,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in pdf["text"]]})
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInPandas(run, "doc_id bigint, n_tokens int")
+    return spread(docs.select("doc_id", "text").where("doc_id is not null")).mapInPandas(run, "doc_id bigint, n_tokens int")
 
 
 def tier_of(length: int, capacity: int, tiers: int = TIERS) -> int:
