@@ -29,13 +29,16 @@ MOVES = 8  # rounds of local moves for each level; half of the vertices may move
 LEVELS = 2
 TYPICAL = 3
 LEAF_ROWS, BLOCK_ROWS, LEAVES = 512, 1024, 4096
+FIT_ROWS = 64  # sampled rows for each leaf, at most V.SAMPLE in all
 CENTROIDS = 65_536  # most centroids that are held by each task
 
 
 def seed_graph(reps: DataFrame, n: int, k: int = NEIGHBOURS) -> DataFrame:
     """(a, b, s): k neighbours of each vertex inside its own small block, where the descent begins."""
-    x = V.sample_units(reps, n, "rep")
-    centres = V.spherical_means(x, max(1, min(LEAVES, n // LEAF_ROWS, len(x) // 8)), rounds=4) if n else np.zeros((1, V.DIM), np.float32)
+    leaves = max(1, min(LEAVES, n // LEAF_ROWS))
+    x = V.sample_units(reps, n, "rep", min(V.SAMPLE, FIT_ROWS * leaves))
+    centres = V.spherical_means(x, min(leaves, max(1, len(x) // 8)), rounds=4) if n else np.zeros((1, V.DIM), np.float32)
+    del x
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,7 +133,7 @@ def _moves(edges: DataFrame, vertices: DataFrame, total: float, rounds: int, sal
     of one random half move at once; a tie goes to the smaller community.
     """
     lab = Table(vertices.select("v", F.col("v").alias("c"), "k"), "labels")
-    n = lab.df.count()
+    n = lab.df.count()  # from the files' footers
     for r in range(rounds):
         now = lab.df
         size = now.groupBy("c").agg(F.sum("k").alias("t"))
@@ -143,10 +146,9 @@ def _moves(edges: DataFrame, vertices: DataFrame, total: float, rounds: int, sal
         to = option.join(own, "a").groupBy("a").agg(F.max(F.struct(gain.alias("g"), (F.col("c") == F.col("c0")).alias("own"), (-F.col("c")).alias("m"))).alias("x"))
         to = to.where("not x.own").select(F.col("a").alias("v"), (-F.col("x.m")).alias("to"))
         nxt = Table(now.join(to, "v", "left").select("v", F.coalesce("to", "c").alias("c"), "k", F.col("to").isNotNull().alias("moved")), "labels")
-        moved = nxt.df.where("moved").count()
         lab.drop()
         lab = nxt
-        if r % 2 and moved * 200 < n:
+        if r % 2 and nxt.df.where("moved").count() * 200 < n:  # each half of the vertices has had its turn
             break
     return lab.df.select("v", "c")
 

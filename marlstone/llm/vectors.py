@@ -62,7 +62,8 @@ def codes_of(column) -> np.ndarray:
 def unit(codes: np.ndarray) -> np.ndarray:
     """float32 rows of length one; odd codes are never all zero."""
     x = codes.astype(np.float32)
-    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    return x
 
 
 def rotation(seed: int = 7) -> np.ndarray:
@@ -71,12 +72,12 @@ def rotation(seed: int = 7) -> np.ndarray:
     return (q * np.sign(np.diag(r))).astype(np.float32)
 
 
-def sample_units(rows: DataFrame, n_rows: int, key: str = "vec_id") -> np.ndarray:
-    """Unit vectors of at most SAMPLE rows, chosen by a hash of the id; for fitting models only."""
+def sample_units(rows: DataFrame, n_rows: int, key: str = "vec_id", most: int = SAMPLE) -> np.ndarray:
+    """Unit vectors of at most ``most`` rows, chosen by a hash of the id; for fitting models only."""
     h = F.xxhash64(F.col(key), F.lit(11))
-    if n_rows > SAMPLE:
-        rows = rows.where(F.pmod(h, F.lit(1 << 20)) < int((1 << 20) * 1.1 * SAMPLE / n_rows) + 1)
-    got = rows.orderBy(h, key).limit(SAMPLE).select("code").toArrow()
+    if n_rows > most:
+        rows = rows.where(F.pmod(h, F.lit(1 << 20)) < int((1 << 20) * 1.1 * most / n_rows) + 1)
+    got = rows.orderBy(h, key).limit(most).select("code").toArrow()
     return unit(codes_of(got.column("code").to_pylist())) if got.num_rows else np.zeros((0, DIM), np.float32)
 
 
