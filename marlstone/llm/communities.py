@@ -1,7 +1,8 @@
 """Problem 1: clusters of mutually similar vectors.
 
 Method: an approximate nearest-neighbour graph by neighbour descent (every
-vertex introduces its neighbours to each other), then modularity-based community
+vertex introduces its neighbours to each other) from several independent
+partitions, until hardly an edge changes, then modularity-based community
 detection on the graph (synchronous local moves, contraction, moves again), each
 community described by the members of highest internal weighted degree.
 """
@@ -24,7 +25,8 @@ from marlstone.runtime import Table
 NEIGHBOURS = 8  # kept for each vertex during the descent
 REVERSE = 8  # best incoming edges that take part in a local join; more are left to the other end
 GRAPH = 6  # best neighbours that become edges
-DESCENTS = 2
+SEEDS = 3  # independent partitions the descent begins from; they link each other's blocks
+CHANGED = 0.005  # the descent ends with a round in which a smaller share of the edges is new
 MOVES = 8  # rounds of local moves for each level; half of the vertices may move in a round
 LEVELS = 2
 TYPICAL = 3
@@ -33,11 +35,11 @@ FIT_ROWS = 64  # sampled rows for each leaf, at most V.SAMPLE in all
 CENTROIDS = 65_536  # most centroids that are held by each task
 
 
-def seed_graph(reps: DataFrame, n: int, k: int = NEIGHBOURS) -> DataFrame:
-    """(a, b, s): k neighbours of each vertex inside its own small block, where the descent begins."""
+def seed_graph(reps: DataFrame, n: int, k: int = NEIGHBOURS, seed: int = 0) -> DataFrame:
+    """(a, b, s): k neighbours of each vertex inside its own small block of one partition, where the descent begins."""
     leaves = max(1, min(LEAVES, n // LEAF_ROWS))
     x = V.sample_units(reps, n, "rep", min(V.SAMPLE, FIT_ROWS * leaves))
-    centres = V.spherical_means(x, min(leaves, max(1, len(x) // 8)), rounds=4) if n else np.zeros((1, V.DIM), np.float32)
+    centres = V.spherical_means(x, min(leaves, max(1, len(x) // 8)), rounds=4, seed=5 + seed) if n else np.zeros((1, V.DIM), np.float32)
     del x
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,14 +62,14 @@ def seed_graph(reps: DataFrame, n: int, k: int = NEIGHBOURS) -> DataFrame:
         keep = i != j
         return pd.DataFrame({"a": ids[i[keep]], "b": ids[j[keep]], "s": s[i[keep], j[keep]]})
 
-    return placed.groupBy("leaf", F.pmod(F.xxhash64("rep"), "blocks").alias("block")).applyInPandas(block, "a bigint, b bigint, s float")
+    return placed.groupBy("leaf", F.pmod(F.xxhash64("rep", F.lit(seed)), "blocks").alias("block")).applyInPandas(block, "a bigint, b bigint, s float")
 
 
 def best_edges(edges: DataFrame, k: int) -> DataFrame:
-    """(a, b, s): the k best of each vertex; what several tasks found counts once."""
-    one = edges.repartition("a").groupBy("a", "b").agg(F.max("s").alias("s"))
-    per = one.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("m"), "b"))), 1, k).alias("t"))
-    return per.select("a", F.explode("t").alias("e")).select("a", F.col("e.b").alias("b"), (-F.col("e.m")).alias("s"))
+    """(a, b, s, new): the k best of each vertex; what several tasks found counts once, and is new if all found it so."""
+    one = edges.repartition("a").groupBy("a", "b").agg(F.max("s").alias("s"), F.min("new").alias("new"))
+    per = one.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("m"), "b", "new"))), 1, k).alias("t"))
+    return per.select("a", F.explode("t").alias("e")).select("a", F.col("e.b").alias("b"), (-F.col("e.m")).alias("s"), F.col("e.new").alias("new"))
 
 
 def descend(graph: DataFrame, reps: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
@@ -112,17 +114,29 @@ def descend(graph: DataFrame, reps: DataFrame, k: int = NEIGHBOURS) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], names=["a", "b", "s"])
 
     found = around.select("m").mapInArrow(introduce, "a bigint, b bigint, s float").where("a <> b")
-    return best_edges(graph.unionByName(found), k)
+    return best_edges(graph.withColumn("new", F.lit(False)).unionByName(found.withColumn("new", F.lit(True))), k)
 
 
-def neighbour_graph(reps: DataFrame, k: int = NEIGHBOURS, rounds: int = DESCENTS) -> DataFrame:
-    """(a, b, s): about the k most similar vertices of every vertex, by cosine."""
-    got = Table(best_edges(seed_graph(reps, reps.count(), k), k), "graph")
-    for _ in range(rounds):
-        nxt = Table(descend(got.df, reps, k), "graph")
+def neighbour_graph(reps: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+    """(a, b, s): about the k most similar vertices of every vertex, by cosine.
+
+    Every round only replaces edges by better ones, so the descent comes to an end.
+    """
+    n = reps.count()
+    seeds = [Table(seed_graph(reps, n, k, i), "seed") for i in range(SEEDS if n > LEAF_ROWS else 1)]
+    edges = seeds[0].df
+    for t in seeds[1:]:
+        edges = edges.unionByName(t.df)
+    got = Table(best_edges(edges.withColumn("new", F.lit(True)), k), "graph")
+    for t in seeds:
+        t.drop()
+    while True:
+        nxt = Table(descend(got.df.drop("new"), reps, k), "graph")
         got.drop()
         got = nxt
-    return got.df
+        new, edges = got.df.agg(F.count_if("new"), F.count(F.lit(1))).first()
+        if new <= CHANGED * edges:
+            return got.df.drop("new")
 
 
 def _moves(edges: DataFrame, vertices: DataFrame, total: float, rounds: int, salt: int) -> DataFrame:

@@ -114,6 +114,21 @@ def test_communities_find_the_groups(cloud):
         assert r["typical"] == g["vec_id"].tolist()[:3] and c <= g["vec_id"].min()
 
 
+def test_neighbour_graph_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(communities, "LEAF_ROWS", 64)
+    monkeypatch.setattr(communities, "BLOCK_ROWS", 128)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 8)) @ rng.standard_normal((8, 128))
+    codes = V.packed(np.clip(np.round(x * 20), -127, 127).astype(np.int16) * 2 - 1)
+    reps = spark.createDataFrame([(i, c.as_py()) for i, c in enumerate(codes)], "rep bigint, code binary").cache()
+    u = V.unit(V.codes_of([c.as_py() for c in codes]))
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    near = np.argsort(-s, axis=1)[:, : communities.NEIGHBOURS]
+    got = {(r["a"], r["b"]) for r in communities.neighbour_graph(reps).collect()}
+    assert sum((i, int(j)) in got for i in range(3000) for j in near[i]) >= 0.9 * near.size
+
+
 def test_mended_clusters(spark, cloud):
     df, x = cloud
     rng = np.random.default_rng(9)
