@@ -3,8 +3,9 @@
 Method: an approximate nearest-neighbour graph by neighbour descent (every
 vertex introduces its neighbours to each other) from several independent
 partitions, until hardly an edge changes, then modularity-based community
-detection on the graph (synchronous local moves, contraction, moves again), each
-community described by the members of highest internal weighted degree.
+detection on the graph (synchronous local moves, contraction, moves again, until
+no level adds to the modularity), each community described by the members of
+highest internal weighted degree.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ REVERSE = 8  # best incoming edges that take part in a local join; more are left
 GRAPH = 6  # best neighbours that become edges
 SEEDS = 3  # independent partitions the descent begins from; they link each other's blocks
 CHANGED = 0.005  # the descent ends with a round in which a smaller share of the edges is new
-MOVES = 8  # rounds of local moves for each level; half of the vertices may move in a round
-LEVELS = 2
+GAIN = 1e-3  # share of the modularity that two rounds of moves, in which each half of the vertices has its turn, must add
+QUIET = 2  # times they may miss it before a level ends
 TYPICAL = 3
 LEAF_ROWS, BLOCK_ROWS, LEAVES = 512, 1024, 4096
 FIT_ROWS = 64  # sampled rows for each leaf, at most V.SAMPLE in all
@@ -139,32 +140,60 @@ def neighbour_graph(reps: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
             return got.df.drop("new")
 
 
-def _moves(edges: DataFrame, vertices: DataFrame, total: float, rounds: int, salt: int) -> DataFrame:
-    """(v, c): communities by local moves that raise modularity.
+def _standing(edges: DataFrame, lab: DataFrame, total: float) -> tuple[float, int]:
+    """Modularity of the labels (v, c, k, moved) and how many vertices have moved.
+
+    Weight that isn't between communities is inside one, loops of contracted
+    vertices included.
+    """
+    a, b = lab.select(F.col("v").alias("a"), F.col("c").alias("ca")), lab.select(F.col("v").alias("b"), F.col("c").alias("cb"))
+    cut = edges.join(a, "a").join(b, "b").where("ca <> cb").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("cut"))
+    size = lab.groupBy("c").agg(F.sum("k").alias("t"), F.count_if("moved").alias("moved"))
+    both = size.agg(F.coalesce(F.sum(F.col("t") * F.col("t")), F.lit(0.0)).alias("t2"), F.coalesce(F.sum("moved"), F.lit(0)).alias("moved"))
+    x = cut.crossJoin(both).first()
+    return 1 - x["cut"] / total - x["t2"] / total**2, x["moved"]
+
+
+def _moves(edges: DataFrame, vertices: DataFrame, total: float, salt: int) -> tuple[DataFrame, float]:
+    """(v, c) and its modularity: communities by local moves, until no vertex moves or moves add next to nothing.
 
     ``edges`` (a, b, w) holds both directions without loops, ``vertices``
     (v, k) the weighted degrees, ``total`` their sum. In a round the vertices
-    of one random half move at once; a tie goes to the smaller community.
+    of one random half move at once, the others in the next one; a tie goes to
+    the smaller community. Moves at once can lower the modularity, so the best
+    labels seen are the result.
     """
-    lab = Table(vertices.select("v", F.col("v").alias("c"), "k"), "labels")
-    n = lab.df.count()  # from the files' footers
-    for r in range(rounds):
-        now = lab.df
-        size = now.groupBy("c").agg(F.sum("k").alias("t"))
-        into = edges.join(now.select(F.col("v").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("w"))
-        moving = now.where(F.pmod(F.xxhash64("v", F.lit(salt * 100 + r)), F.lit(2)) == 0)
-        stay = moving.select(F.col("v").alias("a"), "c", F.lit(0.0).alias("w"))
-        option = into.unionByName(stay).groupBy("a", "c").agg(F.sum("w").alias("w")).join(size, "c")
-        own = moving.select(F.col("v").alias("a"), F.col("c").alias("c0"), "k")
-        gain = F.col("w") - F.col("k") * (F.col("t") - F.when(F.col("c") == F.col("c0"), F.col("k")).otherwise(0.0)) / F.lit(total)
-        to = option.join(own, "a").groupBy("a").agg(F.max(F.struct(gain.alias("g"), (F.col("c") == F.col("c0")).alias("own"), (-F.col("c")).alias("m"))).alias("x"))
-        to = to.where("not x.own").select(F.col("a").alias("v"), (-F.col("x.m")).alias("to"))
-        nxt = Table(now.join(to, "v", "left").select("v", F.coalesce("to", "c").alias("c"), "k", F.col("to").isNotNull().alias("moved")), "labels")
-        lab.drop()
-        lab = nxt
-        if r % 2 and nxt.df.where("moved").count() * 200 < n:  # each half of the vertices has had its turn
+    lab = best = Table(vertices.select("v", F.col("v").alias("c"), "k", F.lit(False).alias("moved")), "labels")
+    most, _ = _standing(edges, lab.df, total)
+    r = quiet = 0
+    while quiet < QUIET:
+        for half in (0, 1):
+            now = lab.df
+            size = now.groupBy("c").agg(F.sum("k").alias("t"))
+            into = edges.join(now.select(F.col("v").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("w"))
+            moving = now.where(F.pmod(F.xxhash64("v", F.lit(salt), F.lit(r)), F.lit(2)) == half)
+            stay = moving.select(F.col("v").alias("a"), "c", F.lit(0.0).alias("w"))
+            option = into.unionByName(stay).groupBy("a", "c").agg(F.sum("w").alias("w")).join(size, "c")
+            own = moving.select(F.col("v").alias("a"), F.col("c").alias("c0"), "k")
+            gain = F.col("w") - F.col("k") * (F.col("t") - F.when(F.col("c") == F.col("c0"), F.col("k")).otherwise(0.0)) / F.lit(total)
+            to = option.join(own, "a").groupBy("a").agg(F.max(F.struct(gain.alias("g"), (F.col("c") == F.col("c0")).alias("own"), (-F.col("c")).alias("m"))).alias("x"))
+            to = to.where("not x.own").select(F.col("a").alias("v"), (-F.col("x.m")).alias("to"))
+            before = F.col("moved") if half else F.lit(False)
+            nxt = Table(now.join(to, "v", "left").select("v", F.coalesce("to", "c").alias("c"), "k", (before | F.col("to").isNotNull()).alias("moved")), "labels")
+            if lab is not best:
+                lab.drop()
+            lab = nxt
+        q, moved = _standing(edges, lab.df, total)
+        r += 1
+        quiet = 0 if q - most > GAIN * abs(q) else quiet + 1
+        if q > most:
+            best.drop()
+            best, most = lab, q
+        if not moved:
             break
-    return lab.df.select("v", "c")
+    if lab is not best:
+        lab.drop()
+    return best.df.select("v", "c"), most
 
 
 def communities(graph: DataFrame, reps: DataFrame) -> DataFrame:
@@ -180,14 +209,18 @@ def communities(graph: DataFrame, reps: DataFrame) -> DataFrame:
     degree = edges.groupBy("a").agg(F.sum("w").alias("k"))
     at = Table(reps.select(F.col("rep").alias("v")).join(degree.withColumnRenamed("a", "v"), "v", "left").select("v", F.coalesce("k", F.lit(0.0)).alias("k")), "vertices").df
     total = at.agg(F.sum("k")).first()[0] or 1.0
-    got = Table(_moves(edges, at, total, MOVES, 0), "level").df
-    for level in range(1, LEVELS):
+    got, most = _moves(edges, at, total, 0)
+    level = 1
+    while True:  # every level but the last leaves fewer communities
         a, b = got.select(F.col("v").alias("a"), F.col("c").alias("ca")), got.select(F.col("v").alias("b"), F.col("c").alias("cb"))
         over = edges.join(a, "a").join(b, "b").where("ca <> cb").groupBy("ca", "cb").agg(F.sum("w").alias("w"))
         over = Table(over.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "w"), "contracted").df
-        vs = at.join(got, "v").groupBy("c").agg(F.sum("k").alias("k")).withColumnRenamed("c", "v")
-        up = _moves(over, vs, total, MOVES, level)
+        vs = Table(at.join(got, "v").groupBy("c").agg(F.sum("k").alias("k")).withColumnRenamed("c", "v"), "contracted").df
+        up, q = _moves(over, vs, total, level)
+        if q <= most:
+            break
         got = Table(got.join(up.select(F.col("v").alias("c"), F.col("c").alias("up")), "c").select("v", F.col("up").alias("c")), "level").df
+        most, level = q, level + 1
     a, b = got.select(F.col("v").alias("a"), F.col("c").alias("ca")), got.select(F.col("v").alias("b"), F.col("c").alias("cb"))
     inner = edges.join(a, "a").join(b, "b").where("ca = cb").groupBy("a").agg(F.sum("w").alias("inner")).withColumnRenamed("a", "v")
     name = got.groupBy("c").agg(F.min("v").alias("name"))

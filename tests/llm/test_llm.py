@@ -129,6 +129,15 @@ def test_neighbour_graph_over_many_blocks(spark, monkeypatch):
     assert sum((i, int(j)) in got for i in range(3000) for j in near[i]) >= 0.9 * near.size
 
 
+def test_no_two_communities_should_be_one(spark):
+    n = 512
+    ring = spark.createDataFrame([(i, (i + d) % n, 0.9) for i in range(n) for d in (1, n - 1)], "a bigint, b bigint, s float")
+    lab = {r["v"]: r["c"] for r in communities.communities(ring, spark.range(n).withColumnRenamed("id", "rep")).collect()}
+    size = {c: sum(x == c for x in lab.values()) for c in lab.values()}
+    between = {(lab[i], lab[(i + 1) % n]) for i in range(n)}
+    assert not [1 for a, b in between if a != b and 1 / n - size[a] * size[b] * 2 / n**2 > 1e-4]  # what a merger adds to the modularity
+
+
 def test_mended_clusters(spark, cloud):
     df, x = cloud
     rng = np.random.default_rng(9)
