@@ -478,7 +478,7 @@ def rabitq8_rerank_topk(spark, d):
 @query()
 def two_pass_search(spark, d):
     c = _clusters(spark, d)
-    config = search.Config(dimension=c.dimension, n_probes=4, first_pass=50, top_k=10)
+    config = search.Config(dimension=c.dimension, top_k=10)
     q = [_vec(spark, d, i) for i in (3, 7, 11)]
     return search.search(_index(spark, d, c, config), c, np.array(q), q[1], config)
 
@@ -486,7 +486,7 @@ def two_pass_search(spark, d):
 @query()
 def two_pass_search_filtered(spark, d):
     c = _clusters(spark, d)
-    config = search.Config(dimension=c.dimension, n_probes=4, first_pass=50, top_k=10)
+    config = search.Config(dimension=c.dimension, top_k=10)
     q = [_vec(spark, d, i) for i in (3, 7, 11)]
     ok = read_table(spark, d, "embeddings").where(compile_predicate("label IN (1, 3)", {"label": "int"})).select(F.floor(F.col("vec_id") / 5).alias("doc_id")).distinct()
     return search.search(_index(spark, d, c, config), c, np.array(q), q[1], config, ok)
