@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from marlstone.runtime import Table
+
 MAX_RETRIES = 5
 KEY = ["namespace", "doc_key"]
 
@@ -54,16 +56,23 @@ def reset(queue: DataFrame, namespace: str, key: str | None = None, only_failed:
 
 
 def in_turn(queue: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
-    """Actionable entries with ``turn``: the n-th of each namespace comes before any n+1-th.
+    """Actionable entries with ``turn``: the n-th of each namespace comes before any n+1-th; order is by time, then id, nulls first.
 
-    The rank is taken inside 64 parts of a namespace, so no namespace is ranked
-    by one task; within a turn of one part order is by time.
+    Entries lie in parts in order, so no namespace is ranked by one task: the
+    rank is the entries of the namespace in earlier parts and the place in the own one.
     """
     from pyspark.sql import Window as W
 
-    part = F.pmod(F.xxhash64("doc_key"), F.lit(64))
-    w = W.partitionBy("namespace", part).orderBy("enqueued_at", "queue_id")
-    return queue.where(F.coalesce("retry_count", F.lit(0)) < max_retries).withColumn("turn", F.row_number().over(w))
+    spark = queue.sparkSession
+    todo = queue.where(F.coalesce("retry_count", F.lit(0)) < max_retries)
+    ranged = todo.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "namespace", "enqueued_at", "queue_id")
+    placed = Table(ranged.withColumn("_part", F.spark_partition_id()), "turns").df  # parts must not move between the two readings
+    per = placed.groupBy("namespace", "_part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy("namespace").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    offset = per.select(F.col("namespace").alias("_ns"), F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"))
+    rank = F.row_number().over(W.partitionBy("namespace", "_part").orderBy("enqueued_at", "queue_id"))
+    ranked = placed.withColumn("_rank", rank).join(offset, F.col("namespace").eqNullSafe(F.col("_ns")) & (F.col("_part") == F.col("_p")))
+    return ranked.withColumn("turn", F.col("_before") + F.col("_rank")).select(*queue.columns, "turn")
 
 
 def failed(batch: DataFrame, error: str, max_retries: int = MAX_RETRIES) -> DataFrame:

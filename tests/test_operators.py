@@ -217,6 +217,16 @@ def test_queue(spark):
     assert queue.in_turn(q).where("turn = 1 and namespace = 'b'").count() == 1
 
 
+def test_turns_are_exact_in_a_namespace(spark):
+    from datetime import datetime as D
+
+    many = [(i, "a" if i % 4 else None, f"k{i}", "t", 0, None, D(2024, 1, 1 + i * 7 % 28)) for i in range(400)] + [(900, "b", "x", "t", 0, None, None)]
+    got = queue.in_turn(spark.createDataFrame(many, QUEUE)).collect()
+    for ns in ("a", None, "b"):
+        mine = sorted((r["enqueued_at"] or D(1, 1, 1), r["queue_id"], r["turn"]) for r in got if r["namespace"] == ns)
+        assert [r[2] for r in mine] == list(range(1, 1 + sum(x[1] == ns for x in many)))
+
+
 def test_stream_worker_retries(spark, tmp_path):
     entries(spark).write.parquet(str(tmp_path / "in"))
 
