@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,14 +68,32 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_scopes: list[list[Table]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written inside are dropped at the end, but for those made with ``keep``."""
+    made: list[Table] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for t in made:
+            t.drop()
+
+
 class Table:
     """A written table in the shared folder: lineage is cut, loss of an executor costs nothing."""
 
-    def __init__(self, df: DataFrame, name: str = "t") -> None:
+    def __init__(self, df: DataFrame, name: str = "t", keep: bool = False) -> None:
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex[:12]}"
         df.write.parquet(self.path)
         self.schema = df.schema
+        if _scopes and not keep:
+            _scopes[-1].append(self)
 
     @property
     def df(self) -> DataFrame:
@@ -105,3 +125,21 @@ def hot_keys(counts: DataFrame, key: str, count: str, shares: int = 256) -> Data
     """Keys that hold more than one part in ``shares`` of all rows; at most ``shares`` rows by counting."""
     total = counts.agg(F.sum(count)).first()[0] or 0
     return counts.where(F.col(count) * shares > F.lit(total)).select(key)
+
+
+def hot_rows(counts: DataFrame, key: list[str], count: str, shares: int = 256) -> DataFrame | None:
+    """The keys that hold more than one part in ``shares`` of all rows as a local table of at most ``shares`` rows; None if there are none."""
+    total = counts.agg(F.sum(count)).first()[0] or 0
+    few = counts.where(F.col(count) * shares > F.lit(total)).select(*key)
+    got = few.collect() if total else []
+    return counts.sparkSession.createDataFrame(got, few.schema) if got else None
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each key; hot keys (see ``hot_rows``) by broadcast, all others by shuffle."""
+    if hot is None:
+        return left.join(right, key, how)
+    h = F.broadcast(hot)
+    few = F.broadcast(right.join(h, key, "left_semi"))  # no more rows than ``hot``
+    rest = left.join(h, key, "left_anti").join(right.join(h, key, "left_anti"), key, how)
+    return left.join(h, key, "left_semi").join(few, key, how).unionByName(rest)
