@@ -2,8 +2,8 @@
 
 Method: a recursive hierarchy of separators (section, paragraph, sentence,
 word, character). A unit that fits stays whole; one that doesn't is split at
-the next level. Units of one parent are packed greedily to the limit; every
-piece but the first begins with the end of the piece before it.
+the next level. The units, whatever their level, are packed greedily to the
+limit; every piece but the first begins with the end of the piece before it.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 1200, 100
@@ -50,22 +51,16 @@ def cut_level(text: str, limit: int = LIMIT) -> str:
     return "none"
 
 
-def _units(text: str, a: int, b: int, level: int, room: int) -> Iterator[list[tuple[int, int]]]:
-    """Groups of neighbouring units that each fit in ``room``; a group ends where a larger unit was taken apart."""
+def _units(text: str, a: int, b: int, level: int, room: int) -> Iterator[tuple[int, int]]:
+    """Units in order, each the largest that fits in ``room`` without the white space at its end."""
     if level == 4:
-        yield [(i, min(i + room, b)) for i in range(a, b, room)]
+        yield from ((i, min(i + room, b)) for i in range(a, b, room))
         return
-    run: list[tuple[int, int]] = []
     for u in spans(text, a, b, level):
         if len(text[u[0] : u[1]].rstrip()) <= room:
-            run.append(u)
+            yield u
         else:
-            if run:
-                yield run
-                run = []
             yield from _units(text, *u, level + 1, room)
-    if run:
-        yield run
 
 
 def overlap_start(text: str, low: int, end: int, overlap: int) -> int:
@@ -103,15 +98,14 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int
             out.append((begin, new, end))
             begin, new = overlap_start(text, new, end, overlap), end
 
-    for run in _units(text, 0, len(text), 0, limit - overlap):
-        at = new
-        for a, b in run:
-            if b - begin > limit and at > new:
-                close(at)
-            while b - begin > limit:  # only white space can be too much here
-                close(min(b, begin + limit))
-            at = b
-        close(at)
+    at = 0
+    for a, b in _units(text, 0, len(text), 0, limit - overlap):
+        if b - begin > limit and at > new:
+            close(at)
+        while b - begin > limit:  # only white space can be too much here
+            close(min(b, begin + limit))
+        at = b
+    close(at)
     return out
 
 
@@ -147,3 +141,16 @@ def pieces(queue: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> Data
             yield pd.DataFrame(rows, columns=["queue_id", "cut_level", "n_pieces", "piece_no", "n_new", "piece"])
 
     return live_entries(queue, limit).mapInPandas(run, "queue_id bigint, cut_level string, n_pieces int, piece_no int, n_new int, piece string")
+
+
+def checked(pieces: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(texts, characters, over_limit, wrong_overlaps, inside_the_next): all characters are new once, and three numbers that must be 0."""
+    w = W.partitionBy("queue_id").orderBy("piece_no")
+    again = F.length("piece") - F.col("n_new")
+    repeated = F.expr("left(piece, length(piece) - n_new)")
+    p = pieces.withColumns({"before": F.lag("piece").over(w), "next": F.lead("piece").over(w), "again": again, "repeated": repeated})
+    wrong = F.when(F.col("piece_no") == 0, F.col("again") != 0).otherwise((F.col("again") > overlap) | ~F.endswith("before", "repeated"))
+    inside = F.coalesce(F.col("next").contains(F.col("piece")), F.lit(False))
+    return p.agg(
+        F.countDistinct("queue_id").alias("texts"), F.sum("n_new").alias("characters"), F.count_if(F.length("piece") > limit).alias("over_limit"), F.count_if(wrong).alias("wrong_overlaps"), F.count_if(inside).alias("inside_the_next")
+    )
