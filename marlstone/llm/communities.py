@@ -3,13 +3,14 @@
 Method: an approximate nearest-neighbour graph by neighbour descent (every
 vertex introduces its neighbours to each other) from several independent
 partitions, until hardly an edge changes, then modularity-based community
-detection on the graph (synchronous local moves, contraction, moves again, until
-no level adds to the modularity), each community described by the members of
-highest internal weighted degree.
+detection on the graph (local moves, contraction, moves again, until nothing
+moves; communities without cohesion join others), each community described by
+the members of highest internal weighted degree.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,15 +22,16 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import vectors as V
 from marlstone.llm.nearest import top_of
-from marlstone.runtime import Table
+from marlstone.runtime import Table, hot_rows, join_hot, scratch
 
 NEIGHBOURS = 8  # kept for each vertex during the descent
 REVERSE = 8  # best incoming edges that take part in a local join; more are left to the other end
 GRAPH = 6  # best neighbours that become edges
 SEEDS = 3  # independent partitions the descent begins from; they link each other's blocks
 CHANGED = 0.005  # the descent ends with a round in which a smaller share of the edges is new
-GAIN = 1e-3  # share of the modularity that two rounds of moves, in which each half of the vertices has its turn, must add
-QUIET = 2  # times they may miss it before a level ends
+LOCAL, LOCAL_EDGES = 100_000, 2_000_000  # vertices and edges of a graph that one task settles; larger ones move in rounds over all tasks
+SETTLED, STALLED = 0.01, 3  # such a level ends when a smaller share of its vertices moves, or no fewer than before for so many rounds
+INSIDE = 0.7  # part of its weight that a community keeps inside
 TYPICAL = 3
 LEAF_ROWS, BLOCK_ROWS, LEAVES = 512, 1024, 4096
 FIT_ROWS = 64  # sampled rows for each leaf, at most V.SAMPLE in all
@@ -140,33 +142,18 @@ def neighbour_graph(reps: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
             return got.df.drop("new")
 
 
-def _standing(edges: DataFrame, lab: DataFrame, total: float) -> tuple[float, int]:
-    """Modularity of the labels (v, c, k, moved) and how many vertices have moved.
-
-    Weight that isn't between communities is inside one, loops of contracted
-    vertices included.
-    """
-    a, b = lab.select(F.col("v").alias("a"), F.col("c").alias("ca")), lab.select(F.col("v").alias("b"), F.col("c").alias("cb"))
-    cut = edges.join(a, "a").join(b, "b").where("ca <> cb").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("cut"))
-    size = lab.groupBy("c").agg(F.sum("k").alias("t"), F.count_if("moved").alias("moved"))
-    both = size.agg(F.coalesce(F.sum(F.col("t") * F.col("t")), F.lit(0.0)).alias("t2"), F.coalesce(F.sum("moved"), F.lit(0)).alias("moved"))
-    x = cut.crossJoin(both).first()
-    return 1 - x["cut"] / total - x["t2"] / total**2, x["moved"]
-
-
-def _moves(edges: DataFrame, vertices: DataFrame, total: float, salt: int) -> tuple[DataFrame, float]:
-    """(v, c) and its modularity: communities by local moves, until no vertex moves or moves add next to nothing.
+def _moves(edges: DataFrame, vertices: DataFrame, total: float, salt: int) -> tuple[DataFrame, bool]:
+    """(v, c) and whether any vertex moved: communities of a large graph by local moves in rounds.
 
     ``edges`` (a, b, w) holds both directions without loops, ``vertices``
-    (v, k) the weighted degrees, ``total`` their sum. In a round the vertices
-    of one random half move at once, the others in the next one; a tie goes to
-    the smaller community. Moves at once can lower the modularity, so the best
-    labels seen are the result.
+    (v, k) the weighted degrees, ``total`` their sum. In a round one random half
+    of the vertices moves at once, then the other; a tie goes to the smaller
+    community. The level ends once fewer than SETTLED of the vertices move, or
+    their number has not fallen for STALLED rounds.
     """
-    lab = best = Table(vertices.select("v", F.col("v").alias("c"), "k", F.lit(False).alias("moved")), "labels")
-    most, _ = _standing(edges, lab.df, total)
-    r = quiet = 0
-    while quiet < QUIET:
+    lab = Table(vertices.select("v", F.col("v").alias("c"), "k", F.lit(False).alias("moved")), "labels")
+    n, least, stalled, r, any_ = vertices.count(), None, 0, 0, False
+    while True:
         for half in (0, 1):
             now = lab.df
             size = now.groupBy("c").agg(F.sum("k").alias("t"))
@@ -180,49 +167,159 @@ def _moves(edges: DataFrame, vertices: DataFrame, total: float, salt: int) -> tu
             to = to.where("not x.own").select(F.col("a").alias("v"), (-F.col("x.m")).alias("to"))
             before = F.col("moved") if half else F.lit(False)
             nxt = Table(now.join(to, "v", "left").select("v", F.coalesce("to", "c").alias("c"), "k", (before | F.col("to").isNotNull()).alias("moved")), "labels")
-            if lab is not best:
-                lab.drop()
+            lab.drop()
             lab = nxt
-        q, moved = _standing(edges, lab.df, total)
-        r += 1
-        quiet = 0 if q - most > GAIN * abs(q) else quiet + 1
-        if q > most:
-            best.drop()
-            best, most = lab, q
-        if not moved:
-            break
-    if lab is not best:
-        lab.drop()
-    return best.df.select("v", "c"), most
+        moved = lab.df.where("moved").count()
+        r, any_ = r + 1, any_ or moved > 0
+        stalled = 0 if least is None or moved < least else stalled + 1
+        least = moved if least is None else min(least, moved)
+        if moved <= SETTLED * n or stalled >= STALLED:
+            return lab.df.select("v", "c"), any_
+
+
+def _joined(edges: DataFrame, vertices: DataFrame, r: int) -> tuple[DataFrame, bool]:
+    """(v, c) and whether a loose community is left: one round in which half of them join the one they share most weight with."""
+    out = edges.groupBy("a").agg(F.sum("w").alias("cut"), F.max(F.struct("w", (-F.col("b")).alias("m"))).alias("x"))
+    loose = vertices.join(out, F.col("v") == F.col("a")).where(F.col("cut") > (1 - INSIDE) * F.col("k"))
+    loose = Table(loose.select("v", (-F.col("x.m")).alias("to"), (F.pmod(F.xxhash64("v", F.lit(r)), F.lit(2)) == 0).alias("goes")), "loose").df
+    going = loose.where("goes")
+    to = going.join(going.select(F.col("v").alias("to")), "to", "left_anti").select("v", "to")  # no chains
+    return vertices.select("v").join(to, "v", "left").select("v", F.coalesce("to", "v").alias("c")), loose.limit(1).count() > 0
+
+
+def _summed(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges without loops, sorted by (a, b), parallel ones added up."""
+    keep = a != b
+    key, at = np.unique(a[keep] * n + b[keep], return_inverse=True)
+    return key // n, key % n, np.bincount(at, w[keep], minlength=len(key))
+
+
+def _best_moves(k: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, total: float) -> np.ndarray:
+    """Communities after local moves, one vertex at a time, until no move adds to the modularity."""
+    n = len(k)
+    start = np.searchsorted(a, np.arange(n + 1)).tolist()
+    nb, wt, kk = b.tolist(), w.tolist(), k.tolist()
+    comm, tot = list(range(n)), k.tolist()
+    todo = deque(np.random.default_rng(17).permutation(n).tolist())
+    waits = [True] * n
+    while todo:
+        v = todo.popleft()
+        waits[v] = False
+        near: dict[int, float] = {}
+        for i in range(start[v], start[v + 1]):
+            c = comm[nb[i]]
+            near[c] = near.get(c, 0.0) + wt[i]
+        own = best = comm[v]
+        tot[own] -= kk[v]
+        share = kk[v] / total
+        most = near.get(own, 0.0) - share * tot[own] + 1e-9
+        for c, x in near.items():
+            g = x - share * tot[c]
+            if g > most:
+                best, most = c, g
+        tot[best] += kk[v]
+        if best != own:
+            comm[v] = best
+            for i in range(start[v], start[v + 1]):
+                u = nb[i]
+                if comm[u] != best and not waits[u]:
+                    waits[u] = True
+                    todo.append(u)
+    return np.unique(comm, return_inverse=True)[1]
+
+
+def settle(k: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, total: float) -> np.ndarray:
+    """Community of every vertex of a graph that fits in one task.
+
+    Moves and contractions until a level moves nothing; then a community that
+    keeps less than INSIDE of its weight inside joins the one it shares most
+    weight with, the loosest first, until all keep as much.
+    """
+    lab = np.arange(len(k))
+    a, b, w = _summed(a, b, w, len(k))
+    joining = False
+    while True:
+        n = len(k)
+        if not joining:
+            c = _best_moves(k, a, b, w, total)
+            joining = c.max(initial=-1) + 1 == n
+        if joining:
+            cut = np.bincount(a, w, minlength=n)
+            loose = np.flatnonzero(cut > (1 - INSIDE) * k + 1e-9)
+            c, touched = np.arange(n), np.zeros(n, bool)
+            first = np.searchsorted(a, np.arange(n + 1))
+            for v in loose[np.argsort((1 - cut / np.maximum(k, 1e-12))[loose], kind="stable")]:
+                near = slice(first[v], first[v + 1])
+                to = b[near][w[near].argmax()]
+                if not touched[v] and not touched[to]:
+                    c[v], touched[v], touched[to] = to, True, True
+            if not len(loose):
+                return lab
+            c = np.unique(c, return_inverse=True)[1]
+        lab = c[lab]
+        m = c.max() + 1
+        k = np.bincount(c, k, minlength=m)
+        a, b, w = _summed(c[a], c[b], w, m)
+
+
+def _settled(edges: DataFrame, vertices: DataFrame, total: float) -> DataFrame:
+    """(v, c): ``settle`` for a graph of at most LOCAL vertices and LOCAL_EDGES edges, in one task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        vs = pdf[pdf["b"].isna()].sort_values("a")
+        es = pdf[pdf["b"].notna()]
+        ids = vs["a"].to_numpy(np.int64)
+        a, b = (np.searchsorted(ids, es[x].to_numpy(np.int64)) for x in ("a", "b"))
+        lab = settle(vs["w"].to_numpy(np.float64), a, b, es["w"].to_numpy(np.float64), total)
+        first = np.full(lab.max(initial=-1) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, lab, ids)
+        return pd.DataFrame({"v": ids, "c": first[lab]})
+
+    rows = edges.select("a", "b", "w").unionByName(vertices.select(F.col("v").alias("a"), F.lit(None).cast("bigint").alias("b"), F.col("k").alias("w")))
+    return rows.groupBy(F.lit("all").alias("one")).applyInPandas(run, "v bigint, c bigint")
 
 
 def communities(graph: DataFrame, reps: DataFrame) -> DataFrame:
     """(v, c, inner): community and internal weighted degree of every vertex.
 
     Weights are cosines, negative ones left out; a vertex without edges is its
-    own community. ``c`` is the smallest vertex of the community.
+    own community. ``c`` is the smallest vertex of the community. A large graph
+    is moved and contracted over all tasks until it fits in one (LOCAL) or
+    nothing moves; communities that keep less than INSIDE of their weight
+    inside are joined to others, so a loose cloud isn't left in pieces.
     """
     w = W.partitionBy("a").orderBy(F.desc("s"), "b")
     few = graph.where("s > 0").withColumn("r", F.row_number().over(w)).where(F.col("r") <= GRAPH).select("a", "b", "s")
     both = few.unionByName(few.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
-    edges = Table(both.groupBy("a", "b").agg(F.max("s").cast("double").alias("w")), "edges").df
+    edges = whole = Table(both.groupBy("a", "b").agg(F.max("s").cast("double").alias("w")), "edges").df
     degree = edges.groupBy("a").agg(F.sum("w").alias("k"))
-    at = Table(reps.select(F.col("rep").alias("v")).join(degree.withColumnRenamed("a", "v"), "v", "left").select("v", F.coalesce("k", F.lit(0.0)).alias("k")), "vertices").df
-    total = at.agg(F.sum("k")).first()[0] or 1.0
-    got, most = _moves(edges, at, total, 0)
-    level = 1
-    while True:  # every level but the last leaves fewer communities
-        a, b = got.select(F.col("v").alias("a"), F.col("c").alias("ca")), got.select(F.col("v").alias("b"), F.col("c").alias("cb"))
-        over = edges.join(a, "a").join(b, "b").where("ca <> cb").groupBy("ca", "cb").agg(F.sum("w").alias("w"))
-        over = Table(over.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "w"), "contracted").df
-        vs = Table(at.join(got, "v").groupBy("c").agg(F.sum("k").alias("k")).withColumnRenamed("c", "v"), "contracted").df
-        up, q = _moves(over, vs, total, level)
-        if q <= most:
-            break
-        got = Table(got.join(up.select(F.col("v").alias("c"), F.col("c").alias("up")), "c").select("v", F.col("up").alias("c")), "level").df
-        most, level = q, level + 1
+    vs = Table(reps.select(F.col("rep").alias("v")).join(degree.withColumnRenamed("a", "v"), "v", "left").select("v", F.coalesce("k", F.lit(0.0)).alias("k")), "vertices").df
+    total = vs.agg(F.sum("k")).first()[0] or 1.0
+    got, level, joining = None, 0, False
+
+    def over(got: DataFrame | None, up: DataFrame) -> DataFrame:
+        if got is None:
+            return Table(up, "level").df
+        return Table(got.join(up.select(F.col("v").alias("c"), F.col("c").alias("up")), "c").select("v", F.col("up").alias("c")), "level").df
+
+    while vs.count() > LOCAL or edges.count() > LOCAL_EDGES:
+        if not joining:
+            up, moved = _moves(edges, vs, total, level)
+            joining = not moved
+        if joining:
+            up, loose = _joined(edges, vs, level)
+            if not loose:
+                break
+        up = Table(up, "up").df
+        got = over(got, up)
+        a, b = up.select(F.col("v").alias("a"), F.col("c").alias("ca")), up.select(F.col("v").alias("b"), F.col("c").alias("cb"))
+        edges = Table(edges.join(a, "a").join(b, "b").where("ca <> cb").groupBy("ca", "cb").agg(F.sum("w").alias("w")).toDF("a", "b", "w"), "contracted").df
+        vs = Table(vs.join(up, "v").groupBy("c").agg(F.sum("k").alias("k")).withColumnRenamed("c", "v"), "contracted").df
+        level += 1
+    else:
+        got = over(got, _settled(edges, vs, total))
     a, b = got.select(F.col("v").alias("a"), F.col("c").alias("ca")), got.select(F.col("v").alias("b"), F.col("c").alias("cb"))
-    inner = edges.join(a, "a").join(b, "b").where("ca = cb").groupBy("a").agg(F.sum("w").alias("inner")).withColumnRenamed("a", "v")
+    inner = whole.join(a, "a").join(b, "b").where("ca = cb").groupBy("a").agg(F.sum("w").alias("inner")).withColumnRenamed("a", "v")
     name = got.groupBy("c").agg(F.min("v").alias("name"))
     return got.join(name, "c").join(inner, "v", "left").select("v", F.col("name").alias("c"), F.coalesce("inner", F.lit(0.0)).alias("inner"))
 
@@ -235,12 +332,14 @@ def members(entries: DataFrame) -> DataFrame:
     an entry other than the packed vector don't matter; an empty table gives
     no rows.
     """
-    rows = Table(V.sound(entries, ("cluster_id",)), "sound").df
-    key = rows.groupBy("code").agg(F.min("vec_id").alias("rep"))
-    reps = Table(key.select("rep", "code"), "reps").df
-    got = Table(communities(neighbour_graph(reps), reps), "communities").df
-    whose = reps.join(got, F.col("rep") == F.col("v")).select("code", F.col("c").alias("community"), "inner")
-    return Table(rows.join(whose, "code").select("vec_id", "scale", "code", "cluster_id", "community", "inner"), "members").df
+    with scratch():
+        rows = Table(V.sound(entries, ("cluster_id",)), "sound").df
+        key = Table(rows.groupBy("code").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "reps").df
+        reps = key.select("rep", "code")
+        got = Table(communities(neighbour_graph(reps), reps), "communities").df
+        whose = reps.join(got, F.col("rep") == F.col("v")).select("code", F.col("c").alias("community"), "inner")
+        mine = join_hot(rows, whose, ["code"], hot_rows(key, ["code"], "n"))
+        return Table(mine.select("vec_id", "scale", "code", "cluster_id", "community", "inner"), "members", keep=True).df
 
 
 def described(mine: DataFrame, k: int = TYPICAL) -> DataFrame:
