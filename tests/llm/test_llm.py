@@ -6,6 +6,7 @@ import os
 import random
 import re
 from datetime import datetime as D
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -129,6 +130,14 @@ def test_neighbour_graph_over_many_blocks(spark, monkeypatch):
     assert sum((i, int(j)) in got for i in range(3000) for j in near[i]) >= 0.9 * near.size
 
 
+def modularity(lab, edges):
+    total, size, cut = sum(edges.values()), {}, 0.0
+    for (a, b), w in edges.items():
+        size[lab[a]] = size.get(lab[a], 0) + w
+        cut += w if lab[a] != lab[b] else 0
+    return 1 - cut / total - sum(x * x for x in size.values()) / total**2
+
+
 def test_no_two_communities_should_be_one(spark):
     n = 512
     ring = spark.createDataFrame([(i, (i + d) % n, 0.9) for i in range(n) for d in (1, n - 1)], "a bigint, b bigint, s float")
@@ -138,6 +147,43 @@ def test_no_two_communities_should_be_one(spark):
     assert not [1 for a, b in between if a != b and 1 / n - size[a] * size[b] * 2 / n**2 > 1e-4]  # what a merger adds to the modularity
 
 
+@pytest.mark.parametrize("local", [100_000, 40])
+def test_planted_groups_come_out_whole(spark, monkeypatch, local):
+    """In one task and over all tasks: loose clouds are not left in pieces, neighbouring ones stay apart."""
+    monkeypatch.setattr(communities, "LOCAL", local)
+    r = random.Random(3)
+    sizes = [600, 60, 60, 60]
+    group = [g for g, k in enumerate(sizes) for _ in range(k)]
+    at = {g: [i for i, x in enumerate(group) if x == g] for g in range(4)}
+    edges = {}
+    for i, g in enumerate(group):
+        for j in r.sample(at[g], 6):
+            if i != j:
+                edges[i, j] = 0.9
+        if r.random() < 0.05:
+            edges[i, r.randrange(len(group))] = 0.5
+    edges = {(a, b): w for (a, b), w in edges.items() if a != b}
+    df = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "a bigint, b bigint, s float")
+    lab = {x["v"]: x["c"] for x in communities.communities(df, spark.range(len(group)).withColumnRenamed("id", "rep")).collect()}
+    for g in range(4):
+        mine = [lab[i] for i in at[g]]
+        most = max(mine, key=mine.count)
+        assert mine.count(most) >= 0.97 * len(mine) and sum(v == most for v in lab.values()) <= 1.05 * len(mine) + 2
+
+
+def test_settled_labels_have_the_modularity_of_planted_ones():
+    r = np.random.default_rng(1)
+    group = np.repeat(np.arange(20), 30)
+    a = np.repeat(np.arange(600), 5)
+    b = np.where(r.random(3000) < 0.9, group[a] * 30 + r.integers(0, 30, 3000), r.integers(0, 600, 3000))
+    both = {(int(x), int(y)): 1.0 for x, y in np.concatenate([np.stack([a, b], 1), np.stack([b, a], 1)]) if x != y}
+    e = np.array(sorted(both))
+    w = np.ones(len(e))
+    lab = communities.settle(np.bincount(e[:, 0], w, 600), e[:, 0], e[:, 1], w, w.sum())
+    assert modularity(lab.tolist(), both) >= modularity(group.tolist(), both) - 1e-3
+    assert communities.settle(np.zeros(3), *[np.zeros(0, np.int64)] * 2, np.zeros(0), 1.0).tolist() == [0, 1, 2]
+
+
 def test_mended_clusters(spark, cloud):
     df, x = cloud
     rng = np.random.default_rng(9)
@@ -183,6 +229,8 @@ def test_natural_ends():
     assert [e for _, _, e in got][0] == len(a.strip()) + 2  # at the paragraph
     text = "x" * 30 + " " + "y" * 30
     assert pieces_ok(text, 40, 5)[0][2] == 31 and len(pieces_ok("z" * 100, 30, 5)) == 4
+    short = "Ab cd.\n\n" + "One more. " * 20  # a short paragraph doesn't stay alone
+    assert pieces_ok(short, 80, 10)[0][2] > 60
     assert pieces.cut("", 10, 2) == [] and pieces.cut("abc", 3, 0) == [(0, 0, 3)]
     with pytest.raises(ValueError):
         pieces.cut("abc", 5, 5)
@@ -206,6 +254,7 @@ def test_live_pieces(spark):
     t = got[got["queue_id"] == 4].sort_values("piece_no")
     assert "".join(p[len(p) - n :] for p, n in zip(t["piece"], t["n_new"])) == long + "x"
     assert pieces.pieces(df.limit(0)).count() == 0
+    assert tuple(pieces.checked(pieces.pieces(df)).first())[:4] == (3, 1500 + 1501 + 200_000, 0, 0)  # texts of one repeated word hold themselves
 
 
 # 4: spellings
@@ -256,7 +305,7 @@ def test_copies(spark):
     jobs = [(1, "A-Board", "Clerk 1"), (2, "a board", "CLERK (1)"), (2, "a board", "CLERK (1)"), (3, "aboard", "clerk1"), (4, None, "x"), (5, None, "x"), (6, "", "q"), (7, "--", "q"), (8, "abo", "ardclerk1"), (9, "zz" * 30_000, "t")]
     raw = [(1, '{"agency": "X", "jobTitle": "Y", "unit": "Z\\u00a0"}'), (2, "unit=z | AGENCY = x|jobtitle=[y]"), (3, '{"unit":"Z","JOBTITLE":"y","agency":"x"}'), (4, '{"agency": "X", "jobTitle": "Y"}'), (5, "agency=X|jobTitle=Y"), (6, None), (7, ""), (8, "{bad"), (9, '{"agency":null,"jobTitle":"Y"}'), (10, "unit=y|agency=x|jobTitle=z")]
     j = spark.createDataFrame(jobs, "jobId bigint, agency string, jobTitle string").withColumn("key", F.lit("clash")).withColumn("src", F.lit(1))
-    r = spark.createDataFrame(raw, "raw_id bigint, payload string").withColumn("inv", F.lit(1))
+    r = spark.createDataFrame(raw, "raw_id bigint, payload string").withColumn("fields", F.lit(1))
     rec = copies.job_records(j).unionByName(copies.raw_records(r))
     assert rows(copies.found(rec)) == sorted([("jobs", 1, 2), ("jobs", 1, 3), ("jobs", 6, 7), ("raw_jobs", 1, 2), ("raw_jobs", 1, 3), ("raw_jobs", 4, 5)], key=repr)
     n = {(s, i): c for s, i, c in rows(copies.one_per_group(rec))}
@@ -277,24 +326,44 @@ def test_plans_keep_capacity():
     for capacity in (1, 10, 64, 2048):
         for _ in range(40):
             h = {r.randint(1, capacity): r.randint(1, 60) for _ in range(r.randint(0, 60))}
-            runs, made = packing.plan(h, capacity)
+            runs, made = packing.plan(h, capacity, r.choice((1, 2, 6)))
             load, ranks = {}, {}
-            for length, a, b, c, per in runs:
+            for length, a, b, w, per, wfirst, wper, c in runs:
                 for i in range(a, b):
-                    load[c + (i - a) // per] = load.get(c + (i - a) // per, 0) + length
+                    k = c + (w + (i - a) // per - wfirst) // wper
+                    load[k] = load.get(k, 0) + length
                     ranks.setdefault(length, []).append(i)
             assert all(v <= capacity for v in load.values()) and sorted(load) == list(range(made))
+            assert [load[k] for k in range(made)] == sorted(load.values(), reverse=True)
             assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(v)) for k, v in h.items()}
             total = sum(k * v for k, v in h.items())
             assert made <= max(1, 2 * -(-total // capacity)) or not h
 
 
+def test_tiers_make_another_plan_as_tight():
+    r = random.Random(5)
+    h = {}
+    for _ in range(5000):
+        n = min(2048, 1 + int(r.lognormvariate(5, 1.2)))
+        h[n] = h.get(n, 0) + 1
+    (one, a), (six, b) = packing.plan(h, 2048, 1), packing.plan(h, 2048, 6)
+    assert one != six and max(a, b) * 2048 * 0.99 <= sum(k * v for k, v in h.items()) + 2048
+    load = {}
+    for length, first, last, w, per, *_ in six:
+        for i in range(first, last):
+            load.setdefault(w + (i - first) // per, []).append(length)
+    # a window holds one document of its own tier or is one of the shortest tier, and what fills its gap is of shorter tiers
+    for lengths in load.values():
+        tiers = sorted(packing.tier_of(n, 2048) for n in lengths)
+        assert sum(lengths) <= 2048 >> tiers[0] and (tiers[0] == 5 or tiers.count(tiers[0]) == 1)
+
+
 @pytest.mark.skipif(not os.path.exists(packing.VOCABULARY), reason="no vocabulary")
 def test_packed_documents(spark):
     texts = [None, "", "one", "two words here", "x " * 100] + [f"text number {i} " * (i % 17) for i in range(200)]
     df = spark.createDataFrame(list(enumerate(texts)) + [(None, "a")], "doc_id bigint, text string").withColumn("part", F.lit(1)).withColumn("tier", F.lit(1))
     got = packing.packed(df, capacity=64, group=4).toPandas()
-    enc = packing.encoder(packing.VOCABULARY)
+    enc = packing.encoder(Path(packing.VOCABULARY).read_bytes())
     n = {i: len(enc.encode_ordinary(t or "")) for i, t in enumerate(texts)}
     assert got.groupby("doc_id")["n_tokens"].sum().to_dict() == n
     full = got[got["container_id"].notna()]
@@ -304,6 +373,9 @@ def test_packed_documents(spark):
     f = packing.fill(packing.packed(df, capacity=64), 64).first()
     assert f["tokens"] == sum(n.values()) and f["unused_share"] < 0.2
     assert packing.packed(df.limit(0)).count() == 0
+    ok = packing.checked(packing.packed(df, capacity=64, group=4), 64).first()
+    assert (ok["over_capacity"], ok["split_wrongly"], ok["unplaced"], ok["steps_balanced"]) == (0, 0, 0, True)
+    assert packing.checked(packing.packed(df.limit(0))).first()["documents"] == 0
 
 
 # 8: leaks
