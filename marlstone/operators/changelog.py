@@ -66,3 +66,10 @@ def counters(log: DataFrame) -> DataFrame:
     all_ = log.agg(F.count(F.lit(1)).alias("entries"), F.count_if(F.col("op") == PUT).alias("puts"), F.count_if(F.col("op") == DELETE).alias("deletes"))
     a, b = all_.withColumn("one", F.lit(1)), won.withColumn("one", F.lit(1))
     return a.join(b, "one").drop("one").withColumn("waste", F.when(F.col("entries") > 0, 1 - F.col("live") / F.col("entries")).otherwise(0.0))
+
+
+def summed(counts: DataFrame) -> DataFrame:
+    """Counters of several logs, and those of all together under the null namespace."""
+    names = ("entries", "puts", "deletes", "keys", "live")
+    total = counts.agg(*[F.sum(n).alias(n) for n in names]).withColumn("waste", F.when(F.col("entries") > 0, 1 - F.col("live") / F.col("entries")).otherwise(0.0))
+    return counts.unionByName(total.withColumn("namespace", F.lit(None).cast("string")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_CONTAINERS = 1 << 20
@@ -12,6 +14,23 @@ def ids(df: DataFrame, row_id: str) -> DataFrame:
     return df.where(F.col(row_id).isNotNull()).select(F.col(row_id).cast("bigint").alias("id")).distinct()
 
 
+def build(spark: SparkSession, values: Iterable[int]) -> DataFrame:
+    """A set of numbers in any order, with repeats."""
+    return spark.createDataFrame([(int(v),) for v in sorted(set(values))], "id bigint")
+
+
+def insert(a: DataFrame, values: Iterable[int]) -> DataFrame:
+    return either(a, build(a.sparkSession, values))
+
+
+def remove(a: DataFrame, values: Iterable[int]) -> DataFrame:
+    return without(a, build(a.sparkSession, values))
+
+
+def clear(a: DataFrame) -> DataFrame:
+    return a.limit(0)
+
+
 def both(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.intersect(b)
 

@@ -25,6 +25,11 @@ from marlstone.sources.embedder import Embedder, checked
 ENTRY = "doc_id bigint, part int, cluster_id int, style string, bits int, add double, scale double, err double, code binary"
 
 
+def typed(schema: str, df: DataFrame) -> str:
+    """A schema with the type that ``doc_id`` has in ``df``; documents may have ids of any type."""
+    return schema.replace("doc_id bigint", f"doc_id {df.schema['doc_id'].dataType.simpleString()}")
+
+
 @dataclass(frozen=True)
 class Config:
     dimension: int = 768
@@ -67,7 +72,7 @@ def quantise(vectors: DataFrame, clusters: Clusters, config: Config) -> DataFram
                     out.append((d, p, int(clusters.ids[c]), "SingleBit" if p else "MultiBit", e.bits, e.add, e.scale, e.error, raw))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in ENTRY.split(", ")])
 
-    return vectors.select("doc_id", "part", "embedding").mapInPandas(run, ENTRY)
+    return vectors.select("doc_id", "part", "embedding").mapInPandas(run, typed(ENTRY, vectors))
 
 
 def document_parts(docs: DataFrame, config: Config) -> DataFrame:
@@ -137,7 +142,7 @@ def first_pass(entries: DataFrame, clusters: Clusters, q: np.ndarray, config: Co
             np.maximum.at(best, at, s)
             yield pd.DataFrame({"doc_id": np.repeat(docs, len(q)), "chunk": np.tile(np.arange(len(q)), len(docs)), "s": best.ravel()})
 
-    scored = hit.select("doc_id", "cluster_id", "scale", "code").mapInPandas(run, "doc_id bigint, chunk int, s double")
+    scored = hit.select("doc_id", "cluster_id", "scale", "code").mapInPandas(run, typed("doc_id bigint, chunk int, s double", entries))
     return scored.groupBy("doc_id", "chunk").agg(F.max("s").alias("s")).groupBy("doc_id").agg(F.sum("s").alias("score"))
 
 
@@ -156,7 +161,7 @@ def second_pass(entries: DataFrame, clusters: Clusters, q: np.ndarray, candidate
             dot = rabitq.estimate(codes, config.dense_bits, pdf["add"].to_numpy(), pdf["scale"].to_numpy(), q, base) if len(pdf) else []
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "dot_product": dot, "error_bound": pdf["err"]})
 
-    return good.select("doc_id", "cluster_id", "add", "scale", "err", "code").mapInPandas(run, "doc_id bigint, dot_product double, error_bound double")
+    return good.select("doc_id", "cluster_id", "add", "scale", "err", "code").mapInPandas(run, typed("doc_id bigint, dot_product double, error_bound double", entries))
 
 
 def search(entries: DataFrame, clusters: Clusters, sparse: np.ndarray, dense: np.ndarray, config: Config, allowed: DataFrame | None = None, top_k: int | None = None) -> DataFrame:
@@ -165,7 +170,7 @@ def search(entries: DataFrame, clusters: Clusters, sparse: np.ndarray, dense: np
     No query vectors, vectors of another dimension or ``top_k`` 0 give no rows.
     """
     k = config.top_k if top_k is None else top_k
-    none = entries.sparkSession.createDataFrame([], "doc_id bigint, dot_product double, error_bound double")
+    none = entries.sparkSession.createDataFrame([], typed("doc_id bigint, dot_product double, error_bound double", entries))
     sparse, dense = np.asarray(sparse), np.asarray(dense)
     if not len(sparse) or not len(dense) or sparse.shape[1:] != (clusters.dimension,) or dense.shape != (clusters.dimension,) or k <= 0:
         return none
@@ -186,11 +191,6 @@ def replace_vectors(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(again, ["doc_id", "style"], "left_anti").unionByName(new)
 
 
-def best_chunk(entries: DataFrame, scored: DataFrame) -> DataFrame:
-    """(doc_id, score, err) of each document's best chunk among scored chunks (doc_id, part, s)."""
-    return scored.join(entries.select("doc_id", "part", "err"), ["doc_id", "part"]).groupBy("doc_id").agg(F.max("s").alias("score"), F.max_by("err", F.struct("s", -F.col("part"))).alias("err"))
-
-
 def missing(docs: DataFrame, entries: DataFrame, queue: DataFrame) -> DataFrame:
     """Documents with text that are neither embedded nor queued."""
     some = docs.where(F.col("text").isNotNull() & (F.trim("text") != ""))

@@ -180,17 +180,38 @@ class KvSchema:
         return json.dumps(asdict(self), indent=1)
 
 
-def from_json(text: str) -> DocSchema | KvSchema:
+@dataclass(frozen=True)
+class RawSchema:
+    """A namespace of bytes under bytes, with a time to live or none."""
+
+    namespace: str
+    ttl_ms: int | None = None
+    most_deletes: int | None = None
+    store_type: str = field(default="raw")
+
+    def __post_init__(self) -> None:
+        _need(self.store_type == "raw", "store_type must be raw")
+        _need(NAMESPACE.fullmatch(self.namespace), "a namespace has letters, digits, _ and -")
+        _need(self.ttl_ms is None or self.ttl_ms >= 0, "a time to live isn't negative")
+        _need(self.most_deletes is None or self.most_deletes > 0, "a sweep deletes at least one row")
+
+    def to_json(self) -> str:
+        return json.dumps(asdict(self), indent=1)
+
+
+def from_json(text: str) -> DocSchema | KvSchema | RawSchema:
     """A schema from JSON; ``store_type`` decides which kind."""
     try:
         d = json.loads(text)
     except ValueError as e:
         raise SchemaError(f"not JSON: {e}") from None
-    _need(isinstance(d, dict) and d.get("store_type") in ("doc", "kv"), "store_type must be doc or kv")
+    _need(isinstance(d, dict) and d.get("store_type") in ("doc", "kv", "raw"), "store_type must be doc, kv or raw")
     d.pop("ns_id", None)
     try:
         if d["store_type"] == "kv":
             return KvSchema(**d)
+        if d["store_type"] == "raw":
+            return RawSchema(**d)
         d["attributes"] = tuple(Attribute(**a) for a in d.get("attributes") or ())
         d["indices"] = tuple(Index(**i) for i in d.get("indices") or ())
         d["embedding_fields"] = tuple(d.get("embedding_fields") or ())
@@ -199,7 +220,7 @@ def from_json(text: str) -> DocSchema | KvSchema:
         raise SchemaError(str(e)) from None
 
 
-def imported(text: str) -> DocSchema | KvSchema:
+def imported(text: str) -> DocSchema | KvSchema | RawSchema:
     """A schema exported elsewhere: its namespace number is dropped, and attributes that are also indexed."""
     d = json.loads(text)
     if isinstance(d, dict) and d.get("store_type") == "doc":

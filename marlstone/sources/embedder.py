@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import time
 from collections.abc import Callable, Iterator, Sequence
 
+from urllib.error import HTTPError
+from urllib.request import Request, urlopen
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,6 +36,31 @@ def hash_embedder(dimension: int) -> Embedder:
     return embed
 
 
+def http_embedder(url: str, dimension: int, timeout_s: float = 30.0, tries: int = 3) -> Embedder:
+    """A service over HTTP: POST ``{"payloads": [...], "dimensions": n}``, answer ``{"embeddings": [[...], ...]}`` in the same order.
+
+    Other keys of the answer are ignored; no texts make no request. A busy or
+    unreachable service is tried again, then it is an error.
+    """
+
+    def embed(texts: Sequence[str]) -> list[list[float]]:
+        if not len(texts):
+            return []
+        body = json.dumps({"payloads": list(texts), "dimensions": dimension}).encode()
+        for left in range(tries - 1, -1, -1):
+            try:
+                with urlopen(Request(url, body, {"Content-Type": "application/json"}), timeout=timeout_s) as answer:
+                    return json.load(answer)["embeddings"]
+            except (OSError, ValueError, KeyError) as e:
+                refused = isinstance(e, HTTPError) and e.code < 500 and e.code != 429
+                if refused or not left:
+                    raise EmbeddingError(f"embedding service: {e}") from None
+                time.sleep(0.2 * (tries - left))
+        raise AssertionError
+
+    return embed
+
+
 def checked(embed: Embedder, texts: Sequence[str], dimension: int) -> np.ndarray:
     """Vectors in the order of the texts; another number of vectors or another dimension is an error."""
     got = list(embed(list(texts))) if len(texts) else []

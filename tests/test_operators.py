@@ -67,6 +67,8 @@ def test_row_sets(spark):
     assert rowsets.contains(a, 5) and not rowsets.contains(a, 6)
     with pytest.raises(ValueError):
         rowsets.flip(a, 0, 1 << 40)
+    c = rowsets.insert(rowsets.build(spark, [3, 1, 3]), [2, 1])
+    assert rows(c) == [(1,), (2,), (3,)] and rows(rowsets.remove(c, [2, 9])) == [(1,), (3,)] and rowsets.clear(c).count() == 0
     df = spark.createDataFrame([("x", 1), ("x", 1), ("x", 65_537), (None, 2), ("y", None)], "v string, i bigint")
     assert rows(rowsets.listing(df, "v", "i")) == [("x", 0, [1]), ("x", 1, [1])]
     assert rows(rowsets.postings(df, "v", "i")) == [("x", 2, 1, 65537)]
