@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import vectors as fv
+from marlstone.operators.blocks import best_each, matrix
 from marlstone.sources.centroids import Clusters
 
 
@@ -50,15 +51,25 @@ def top_k(df: DataFrame, row_id: str, vector: str, q: np.ndarray, k: int, allowe
     return rows.select(row_id, fv.dot(F.col(vector), _array(q)).alias("score")).orderBy(F.desc("score"), row_id).limit(k)
 
 
-def one_bit_estimates(df: DataFrame, row_id: str, vector: str, centroid: str, q: np.ndarray) -> DataFrame:
-    """(<row_id>, estimate): dot products with ``q`` from sign codes against each row's centroid, as column expressions."""
-    d = len(q)
-    r = fv.residual(F.col(vector), F.col(centroid))
-    base = df.select(row_id, F.col(centroid).alias("c"), r.alias("r")).withColumn("norm", F.sqrt(fv.dot(F.col("r"), F.col("r"))))
-    ip = F.aggregate("r", F.lit(0.0), lambda s, x: s + F.abs(x)) / F.greatest(F.col("norm"), F.lit(1e-10)) / float(np.sqrt(d))
-    scaled = base.withColumn("scale", F.col("norm") / (F.greatest(ip, F.lit(1e-10)) * float(np.sqrt(d))))
-    signed = F.aggregate(F.zip_with("r", _array(q), lambda x, y: F.when(x >= 0, y).otherwise(-y)), F.lit(0.0), lambda s, x: s + x)
-    return scaled.select(row_id, (fv.dot(F.col("c"), _array(q)) + F.col("scale") * signed).alias("estimate"))
+def max_sim_each(df: DataFrame, doc_id: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, <doc_id>, score): the k best documents of every query of ``queries`` (query_id, chunk, vector), in blocks.
+
+    The score of a document is the sum over the query's vectors of the best
+    dot product with any of its vectors. Null vectors and those of another
+    dimension than the first query's are left out, and so are null ids.
+    """
+    one = queries.where(F.col("vector").isNotNull()).select(F.size("vector")).first()
+    d = one[0] if one else 0
+    rows = df.select(F.col(doc_id).alias("doc"), F.col(vector).alias("v")).where((F.size("v") == d) & F.col("doc").isNotNull())
+    asked = queries.select("query_id", "chunk", "vector").where(F.size("vector") == d)
+    got = best_each(rows, asked, lambda x, q: matrix(x["v"]) @ matrix(q["vector"]).T, k)
+    return got.withColumnRenamed("doc", doc_id)
+
+
+def top_k_each(df: DataFrame, row_id: str, vector: str, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, <row_id>, score): the k largest dot products with each of ``queries`` (query_id, vector); ``allowed`` is a semi-join before scoring."""
+    rows = df if allowed is None else df.join(allowed.select(row_id), row_id, "left_semi")
+    return max_sim_each(rows, row_id, vector, queries.select("query_id", F.lit(0).alias("chunk"), "vector"), k)
 
 
 def max_sim(df: DataFrame, doc_id: str, vector: str, queries: list[np.ndarray]) -> DataFrame:

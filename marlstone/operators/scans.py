@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from marlstone.functions.keys import prefix_end
+from marlstone.runtime import Table
 
 PAGE_SIZE = 20
 
@@ -56,6 +57,23 @@ def full_scan(df: DataFrame, key: str, ordered: bool = True, compat: bool = Fals
     return df.orderBy(*_order(key, compat)) if ordered else df
 
 
+def numbered(df: DataFrame, key: str, compat: bool = False) -> DataFrame:
+    """``df`` with ``pos``, the place of each row in key order from 1.
+
+    Rows are sorted by ranges and counted range by range, so none is ranked by
+    one task; the sorted rows are written once.
+    """
+    part, at = F.spark_partition_id().alias("_part"), (F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1).alias("_at")
+    placed = Table(full_scan(df, key, compat=compat).select("*", part, at), "numbered").df
+    per = sorted((r[0], r[1]) for r in placed.groupBy("_part").count().collect())  # one row for each range
+    before, total = [], 0
+    for p, n in per:
+        before.append((p, total))
+        total += n
+    offset = F.broadcast(df.sparkSession.createDataFrame(before, "_part int, _before bigint"))
+    return placed.join(offset, "_part").select(*df.columns, (F.col("_before") + F.col("_at")).alias("pos"))
+
+
 def keys_only(df: DataFrame, key: str, ordered: bool = True, compat: bool = False) -> DataFrame:
     return full_scan(df.select(key), key, ordered, compat)
 

@@ -14,11 +14,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marlstone.functions import text
 from marlstone.functions.vectors import pack_bits
 from marlstone.operators import rabitq
+from marlstone.operators.blocks import best_each, matrix
 from marlstone.sources.centroids import Clusters
 from marlstone.sources.embedder import Embedder, checked
 
@@ -178,6 +180,60 @@ def search(entries: DataFrame, clusters: Clusters, sparse: np.ndarray, dense: np
     return second_pass(entries, clusters, dense, cut, config).orderBy(F.desc("dot_product"), "doc_id").limit(k)
 
 
+def first_pass_each(entries: DataFrame, clusters: Clusters, sparse: DataFrame, config: Config, allowed: DataFrame | None = None, k: int | None = None) -> DataFrame:
+    """(query_id, rank, doc, score): ``first_pass`` for every query of ``sparse`` (query_id, chunk, vector), in blocks; the best ``k`` (default: the first-pass cut) of each."""
+    d = clusters.dimension
+    hit = sound(entries, clusters, "SingleBit", 1, -(-d // 64) * 8)
+    if allowed is not None:
+        hit = hit.join(allowed.select("doc_id"), "doc_id", "left_semi")
+    rows = hit.select(F.col("doc_id").alias("doc"), "cluster_id", "scale", "code")
+    where = {int(c): i for i, c in enumerate(clusters.ids)}
+
+    def score(x: pd.DataFrame, q: pd.DataFrame) -> np.ndarray:
+        v = matrix(q["vector"])
+        bits = np.unpackbits(np.frombuffer(b"".join(x["code"]), np.uint8).reshape(len(x), -1), axis=1, bitorder="little")[:, :d]
+        at = np.array([where[c] for c in x["cluster_id"]])
+        s = (clusters.matrix @ v.T)[at] + x["scale"].to_numpy()[:, None] * (2 * (bits.astype(np.float64) @ v.T) - v.sum(1)[None, :])
+        ids, of = np.unique(q["query_id"].to_numpy(), return_inverse=True)
+        probed = np.zeros((len(clusters.ids), len(ids)), bool)  # clusters that any chunk of a query probes
+        near = clusters.probe(v, config.n_probes)
+        probed[near.ravel(), np.repeat(of, near.shape[1])] = True
+        return np.where(probed[at][:, of], s, -np.inf)
+
+    asked = sparse.select("query_id", "chunk", "vector").where(F.size("vector") == d)
+    return best_each(rows, asked, score, config.first_pass if k is None else k)
+
+
+def second_pass_each(entries: DataFrame, clusters: Clusters, candidates: DataFrame, dense: DataFrame, config: Config) -> DataFrame:
+    """(query_id, doc_id, dot_product, error_bound) of candidates (query_id, doc_id) whose document has exactly one dense entry, and that a sound one; ``dense`` has (query_id, vector)."""
+    whole = entries.where("part = 0")
+    single = whole.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
+    good = sound(whole, clusters, "MultiBit", config.dense_bits, clusters.dimension).join(single.select("doc_id"), "doc_id", "left_semi")
+    pairs = candidates.select("query_id", "doc_id").join(good.select("doc_id", "cluster_id", "add", "scale", "err", "code"), "doc_id")
+    pairs = pairs.join(dense.select("query_id", "vector").where(F.size("vector") == clusters.dimension), "query_id")
+    where = {int(c): i for i, c in enumerate(clusters.ids)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            q = matrix(pdf["vector"])
+            codes = np.frombuffer(b"".join(pdf["code"]), np.uint8).reshape(len(pdf), -1).astype(np.float64)
+            base = np.einsum("ij,ij->i", clusters.matrix[[where[c] for c in pdf["cluster_id"]]], q)
+            dot = rabitq.estimate_rows(codes, config.dense_bits, pdf["add"].to_numpy(), pdf["scale"].to_numpy(), q, base)
+            yield pd.DataFrame({"query_id": pdf["query_id"], "doc_id": pdf["doc_id"], "dot_product": dot, "error_bound": pdf["err"]})
+
+    return pairs.mapInPandas(run, typed("query_id bigint, doc_id bigint, dot_product double, error_bound double", entries))
+
+
+def search_each(entries: DataFrame, clusters: Clusters, sparse: DataFrame, dense: DataFrame, config: Config, allowed: DataFrame | None = None, top_k: int | None = None) -> DataFrame:
+    """(query_id, rank, doc_id, dot_product, error_bound): ``search`` for a whole set of queries; one without vectors has no rows."""
+    cut = first_pass_each(entries, clusters, sparse, config, allowed).select("query_id", F.col("doc").alias("doc_id"))
+    got = second_pass_each(entries, clusters, cut, dense, config)
+    w = W.partitionBy("query_id").orderBy(F.desc("dot_product"), "doc_id")
+    return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= (config.top_k if top_k is None else top_k)).select("query_id", "rank", "doc_id", "dot_product", "error_bound")
+
+
 def hydrated(hits: DataFrame, docs: DataFrame, page_no: int = 1, page_size: int = 20) -> DataFrame:
     """Documents of a page of ranked hits, best first; the page is cut first, so missing documents shorten it."""
     skip = (max(1, page_no) - 1) * max(1, page_size)

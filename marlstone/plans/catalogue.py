@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,8 @@ from marlstone.functions import vectors as fv
 from marlstone.operators import changelog as cl
 from marlstone.operators import exact, rowsets, scans, search
 from marlstone.plans import skew_queries
-from marlstone.plans.schema import Attribute, DocSchema, Index
+from marlstone.plans.engine import Engine
+from marlstone.plans.schema import Attribute, DocSchema, Index, KvSchema
 from marlstone.predicate import compile_predicate, match
 from marlstone.predicate.syntax import Between
 from marlstone.runtime import Table, read_table, shared_dir
@@ -190,11 +192,9 @@ def multi_prefix_scan(spark, d):
     return scans.multi_prefix(read_table(spark, d, "vector_index"), "cluster_id", [4, 6, 11, 13]).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT k, row_number() OVER (ORDER BY k < 0, k) AS pos FROM (SELECT DISTINCT user_id - 75 AS k FROM events) ORDER BY k < 0, k LIMIT 40")
+@query("SELECT k, row_number() OVER (ORDER BY k < 0, k) AS pos FROM (SELECT DISTINCT user_id - 75 AS k FROM events)")
 def kv_int_order_compat(spark, d):
-    k = read_table(spark, d, "events").select((F.col("user_id") - 75).alias("k")).distinct()
-    rows = scans.full_scan(k, "k", compat=True).limit(40).collect()
-    return spark.createDataFrame([(r[0], i + 1) for i, r in enumerate(rows)], "k bigint, pos bigint")
+    return scans.numbered(read_table(spark, d, "events").select((F.col("user_id") - 75).alias("k")).distinct(), "k", compat=True)
 
 
 @query("SELECT doc_id, printf('%016x', doc_id) AS u64_hex, printf('%032x', doc_id) AS u128_hex, CAST(doc_id AS VARCHAR) AS back FROM documents")
@@ -253,9 +253,29 @@ def log_counters(spark, d):
 # Index statistics and row-id sets
 
 
-@query("SELECT count(*) AS n FROM lineitem")
+def _engine(spark, **named):
+    return Engine(spark, f"{shared_dir(spark)}/engine-{uuid.uuid4().hex[:8]}", **named)
+
+
+@query("SELECT count(DISTINCT o_orderkey) AS n FROM orders")
 def row_count(spark, d):
-    return read_table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("n"))
+    """All orders put into a key-value store twice, and the rows it counts."""
+    e = _engine(spark)
+    e.create_store(KvSchema("orders", "int", "str"))
+    for _ in range(2):
+        e.put_values("orders", read_table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("value")))
+    return spark.createDataFrame([(e.row_count("orders"),)], "n bigint")
+
+
+@query("SELECT doc_id, source FROM documents WHERE source = 'notice-board' ORDER BY doc_id LIMIT 20 OFFSET 20")
+def document_query(spark, d):
+    """Documents put into a store, and the second page of a predicate over them."""
+    e = _engine(spark)
+    e.create_store(DocSchema("docs", "u64", (), (Index("source", "str"),)))
+    docs = read_table(spark, d, "documents").where("doc_id is not null")
+    e.put_documents("docs", docs.select(keys.u64_column(F.col("doc_id")).alias("key"), F.to_json(F.struct("doc_id", "source")).alias("doc")))
+    got = e.query("docs", "source = 'notice-board'", 2, 20)["results"]
+    return spark.createDataFrame([(r["id"], r["document"]["source"]) for r in got], "doc_id bigint, source string")
 
 
 @query("SELECT 'age' AS field, count(DISTINCT age) AS n_values FROM users UNION ALL SELECT 'is_active', count(DISTINCT is_active) FROM users UNION ALL SELECT 'status', count(DISTINCT status) FROM users")
@@ -379,7 +399,9 @@ def jsonl_load_good_bad(spark, d):
 _CENT = """cent AS (SELECT label AS cluster_id, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS m FROM
     (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY label, i) GROUP BY label),
     near AS (SELECT vec_id, cluster_id, c, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_distance(embedding::DOUBLE[], c), 7), cluster_id) AS rank FROM embeddings, cent)"""
-_Q = "q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7)"
+#: Every row whose id is divisible by 50 is a query.
+_Q = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0)"
+_RANK = "row_number() OVER (PARTITION BY query_id ORDER BY s DESC, {0})"
 
 
 def _clusters(spark, d):
@@ -387,8 +409,15 @@ def _clusters(spark, d):
     return got
 
 
-def _vec(spark, d, vec_id=7):
-    return np.array(read_table(spark, d, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0], np.float64)
+def _asked(spark, d):
+    """(query_id, vector)"""
+    return read_table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def _asked_documents(spark, d):
+    """Five embeddings make a document, see _index; every tenth document asks with all its chunks: (query_id, chunk, vector)."""
+    e = read_table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 5).alias("doc"), (F.col("vec_id") % 5).cast("int").alias("chunk"), F.col("embedding").alias("vector"))
+    return e.where("doc % 10 = 0").select((F.col("doc") * 5).alias("query_id"), "chunk", "vector")
 
 
 @query(f"WITH {_CENT} SELECT vec_id, cluster_id FROM near WHERE rank = 1")
@@ -401,15 +430,17 @@ def probe_topn(spark, d):
     return exact.nearest_centroids(read_table(spark, d, "embeddings"), "vec_id", "embedding", _clusters(spark, d), 3).select("vec_id", F.col("rank").cast("bigint").alias("rank"), "cluster_id")
 
 
-@query(f"WITH {_Q} SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], q), 5) AS score FROM embeddings, q ORDER BY list_inner_product(embedding::DOUBLE[], q) DESC, vec_id LIMIT 10")
+@query(f"WITH {_Q}, s AS (SELECT query_id, vec_id, list_inner_product(embedding::DOUBLE[], q) AS s FROM embeddings, q) SELECT query_id, rank, vec_id, round(s, 5) AS score FROM (SELECT *, {_RANK.format('vec_id')} AS rank FROM s) WHERE rank <= 10")
 def exact_topk(spark, d):
-    return exact.top_k(read_table(spark, d, "embeddings"), "vec_id", "embedding", _vec(spark, d), 10).select("vec_id", F.round("score", 5).alias("score"))
+    got = exact.top_k_each(read_table(spark, d, "embeddings"), "vec_id", "embedding", _asked(spark, d), 10)
+    return got.select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", F.round("score", 5).alias("score"))
 
 
-@query(f"WITH {_Q} SELECT vec_id FROM embeddings, q WHERE label = 3 ORDER BY list_inner_product(embedding::DOUBLE[], q) DESC, vec_id LIMIT 10")
+@query(f"WITH {_Q}, s AS (SELECT query_id, vec_id, list_inner_product(embedding::DOUBLE[], q) AS s FROM embeddings, q WHERE label = 3) SELECT query_id, rank, vec_id FROM (SELECT *, {_RANK.format('vec_id')} AS rank FROM s) WHERE rank <= 10")
 def filtered_topk_semi(spark, d):
     e = read_table(spark, d, "embeddings")
-    return exact.top_k(e, "vec_id", "embedding", _vec(spark, d), 10, match(e, "label = 3", {"label": "int"})).select("vec_id")
+    got = exact.top_k_each(e, "vec_id", "embedding", _asked(spark, d), 10, match(e, "label = 3", {"label": "int"}))
+    return got.select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id")
 
 
 @query("SELECT vec_id, list_transform(embedding, lambda x: CAST(round(x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * 100000) AS BIGINT)) AS u FROM embeddings")
@@ -436,25 +467,28 @@ def _double_clusters(spark, d):
 
 
 @query(
-    f"""WITH {_CENT}, {_Q}, r AS (SELECT vec_id, q, c, list_transform(range(1, len(v) + 1), lambda i: v[i] - c[i]) AS r FROM near, q WHERE rank = 1),
-    s AS (SELECT vec_id, list_inner_product(c, q) AS base, sqrt(list_inner_product(r, r)) AS norm, list_sum(list_transform(r, lambda x: abs(x))) AS l1,
-    list_sum(list_transform(range(1, len(r) + 1), lambda i: CASE WHEN r[i] >= 0 THEN q[i] ELSE -q[i] END)) AS signed FROM r)
-    SELECT vec_id, round(base + norm / (l1 / norm) * signed, 4) AS estimate FROM s ORDER BY base + norm / (l1 / norm) * signed DESC, vec_id LIMIT 10"""
+    f"""WITH {_CENT}, {_Q}, r AS (SELECT vec_id, c, list_transform(range(1, len(v) + 1), lambda i: v[i] - c[i]) AS r FROM near WHERE rank = 1),
+    n AS (SELECT vec_id, c, r, list_inner_product(r, r) / list_sum(list_transform(r, lambda x: abs(x))) AS f FROM r),
+    s AS (SELECT query_id, vec_id, list_inner_product(c, q) + f * list_sum(list_transform(range(1, len(r) + 1), lambda i: CASE WHEN r[i] >= 0 THEN q[i] ELSE -q[i] END)) AS s FROM n, q)
+    SELECT query_id, rank, vec_id, round(s, 3) AS estimate FROM (SELECT *, {_RANK.format('vec_id')} AS rank FROM s) WHERE rank <= 10"""
 )
 def rabitq1_estimate_topk(spark, d):
-    e, c = read_table(spark, d, "embeddings"), _double_clusters(spark, d)
-    at = exact.with_centroid(e, "embedding", exact.nearest_centroids(e, "vec_id", "embedding", c), c, "vec_id")
-    got = exact.one_bit_estimates(at, "vec_id", "embedding", "centroid", _vec(spark, d))
-    return got.orderBy(F.desc("estimate"), "vec_id").limit(10).select("vec_id", F.round("estimate", 4).alias("estimate"))
+    """One-bit entries of all embeddings, each a document of its own, scored for every query with all clusters probed."""
+    c = _clusters(spark, d)
+    config = search.Config(dimension=c.dimension, n_probes=len(c.ids))
+    one = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("part"), "embedding")
+    got = search.first_pass_each(search.quantise(one, c, config), c, _asked(spark, d).withColumn("chunk", F.lit(0)), config, k=10)
+    return got.select("query_id", F.col("rank").cast("bigint").alias("rank"), F.col("doc").alias("vec_id"), F.round("score", 3).alias("estimate"))
 
 
-@query("""WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id IN (3, 7, 11)),
-    s AS (SELECT e.vec_id // 5 AS doc_id, qid, max(list_inner_product(embedding::DOUBLE[], q)) AS m FROM embeddings e, q GROUP BY ALL)
-    SELECT doc_id, round(sum(m), 4) AS score FROM s GROUP BY doc_id ORDER BY sum(m) DESC, doc_id LIMIT 15""")
+@query("""WITH q AS (SELECT vec_id // 5 * 5 AS query_id, vec_id % 5 AS chunk, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id // 5 % 10 = 0),
+    m AS (SELECT e.vec_id // 5 AS doc_id, query_id, chunk, max(list_inner_product(embedding::DOUBLE[], q)) AS m FROM embeddings e, q GROUP BY ALL),
+    s AS (SELECT query_id, doc_id, sum(m) AS s FROM m GROUP BY ALL)
+    SELECT query_id, rank, doc_id, round(s, 4) AS score FROM (SELECT *, """ + _RANK.format("doc_id") + """ AS rank FROM s) WHERE rank <= 15""")
 def maxsim_rank(spark, d):
     e = read_table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 5).alias("doc_id"), "embedding")
-    got = exact.max_sim(e, "doc_id", "embedding", [_vec(spark, d, i) for i in (3, 7, 11)])
-    return got.orderBy(F.desc("score"), "doc_id").limit(15).select("doc_id", F.round("score", 4).alias("score"))
+    got = exact.max_sim_each(e, "doc_id", "embedding", _asked_documents(spark, d), 15)
+    return got.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", F.round("score", 4).alias("score"))
 
 
 def _index(spark, d, c, config):
@@ -464,56 +498,102 @@ def _index(spark, d, c, config):
     return Table(search.quantise(parts, c, config), "entries").df
 
 
-@query()
-def rabitq8_rerank_topk(spark, d):
-    """Multi-bit estimates against exact dot products, for every document: (doc_id, estimate, exact)."""
+@query("SELECT count(*) AS n_pairs, true AS bound_held, true AS close FROM (SELECT DISTINCT vec_id // 5 AS doc_id FROM embeddings) d, (SELECT DISTINCT vec_id // 5 FROM embeddings WHERE vec_id // 5 % 10 = 0) q")
+def rabitq8_bound(spark, d):
+    """Multi-bit estimates of every query and document against exact dot products: at least 90 % within the bound for the query's length (it is 1.9 standard deviations, about 94 %), none off by more than 0.02."""
     c = _clusters(spark, d)
     config = search.Config(dimension=c.dimension)
-    q = _vec(spark, d)
-    docs = read_table(spark, d, "embeddings").where("vec_id % 5 = 0").select(F.floor(F.col("vec_id") / 5).alias("doc_id"), fv.dot(F.col("embedding"), exact._array(q)).alias("exact"))
-    got = search.second_pass(_index(spark, d, c, config), c, q, docs, config)
-    return got.join(docs, "doc_id").select("doc_id", F.col("dot_product").alias("estimate"), "exact")
+    dense = _asked_documents(spark, d).where("chunk = 0").select("query_id", "vector")
+    docs = read_table(spark, d, "embeddings").where("vec_id % 5 = 0").select(F.floor(F.col("vec_id") / 5).alias("doc_id"), "embedding")
+    n = docs.count()
+    true = exact.top_k_each(docs, "doc_id", "embedding", dense, n)  # a report of all pairs, for the comparison only
+    got = search.second_pass_each(_index(spark, d, c, config), c, true, dense, config).join(true, ["query_id", "doc_id"])
+    got = got.join(dense.select("query_id", F.sqrt(fv.dot(F.col("vector"), F.col("vector"))).alias("length")), "query_id")
+    off = F.abs(F.col("dot_product") - F.col("score"))
+    return got.agg(F.count(F.lit(1)).alias("n_pairs"), (F.count_if(off <= F.col("error_bound") * F.col("length")) >= 0.9 * F.count(F.lit(1))).alias("bound_held"), (F.max(off) <= 0.02).alias("close"))
 
 
-@query()
-def two_pass_search(spark, d):
+def _searched(spark, d, allowed=None):
     c = _clusters(spark, d)
     config = search.Config(dimension=c.dimension, top_k=10)
-    q = [_vec(spark, d, i) for i in (3, 7, 11)]
-    return search.search(_index(spark, d, c, config), c, np.array(q), q[1], config)
+    sparse = _asked_documents(spark, d)
+    return search.search_each(_index(spark, d, c, config), c, sparse, sparse.where("chunk = 0").select("query_id", "vector"), config, allowed)
+
+
+def _label_documents(spark, d):
+    rows = read_table(spark, d, "embeddings").where(compile_predicate("label IN (1, 3)", {"label": "int"}))
+    return rows.select(F.floor(F.col("vec_id") / 5).alias("doc_id")).distinct()
 
 
 @query()
-def two_pass_search_filtered(spark, d):
-    c = _clusters(spark, d)
-    config = search.Config(dimension=c.dimension, top_k=10)
-    q = [_vec(spark, d, i) for i in (3, 7, 11)]
-    ok = read_table(spark, d, "embeddings").where(compile_predicate("label IN (1, 3)", {"label": "int"})).select(F.floor(F.col("vec_id") / 5).alias("doc_id")).distinct()
-    return search.search(_index(spark, d, c, config), c, np.array(q), q[1], config, ok)
+def two_pass_search(spark, d):
+    return _searched(spark, d).select("query_id", "rank", "doc_id", "dot_product", "error_bound")
 
 
 @query()
+def two_pass_search_filtered(spark, d):
+    return _searched(spark, d, _label_documents(spark, d)).select("query_id", "rank", "doc_id", "dot_product", "error_bound")
+
+
+_RECALL = "SELECT count(*) AS n_queries, true AS recall_95 FROM (SELECT DISTINCT vec_id // 5 FROM embeddings WHERE vec_id // 5 % 10 = 0)"
+
+
+def _recall(spark, d, got, allowed=None):
+    """(n_queries, recall_95): whether at least 95 % of the exact ten best documents of all queries were found."""
+    docs = read_table(spark, d, "embeddings").where("vec_id % 5 = 0").select(F.floor(F.col("vec_id") / 5).alias("doc_id"), "embedding")
+    true = exact.top_k_each(docs, "doc_id", "embedding", _asked_documents(spark, d).where("chunk = 0").select("query_id", "vector"), 10, allowed)
+    both = true.select("query_id", "doc_id").join(got.select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("n_queries"), (F.count("hit") >= 0.95 * F.count(F.lit(1))).alias("recall_95"))
+
+
+@query(_RECALL)
+def two_pass_recall(spark, d):
+    return _recall(spark, d, _searched(spark, d))
+
+
+@query(_RECALL)
+def two_pass_recall_filtered(spark, d):
+    ok = _label_documents(spark, d)
+    return _recall(spark, d, _searched(spark, d, ok), ok)
+
+
+@query(
+    """WITH one AS (SELECT DISTINCT vec_id, quantisation_style, packed_vector, number_of_bits, cluster_id, addition_factor, scaling_factor, error_bound FROM vector_index)
+    SELECT quantisation_style AS style, count(*) AS n_entries, count(*) FILTER (NOT coalesce(quantisation_style = 'MultiBit' AND number_of_bits = 8 AND len(list_filter(packed_vector, lambda x: x IS NOT NULL)) = 16
+    AND cluster_id IN (SELECT cluster_id FROM clusters) AND addition_factor IS NOT NULL AND scaling_factor IS NOT NULL AND error_bound IS NOT NULL, false)) AS n_corrupt FROM one GROUP BY 1"""
+)
 def search_corruption(spark, d):
     """Entries of the packed vector table that can't be scored: (style, n_entries, n_corrupt)."""
-    v = read_table(spark, d, "vector_index")
-    good = (F.size("packed_vector") == 16) & F.col("cluster_id").isNotNull()
-    return v.groupBy(F.col("quantisation_style").alias("style")).agg(F.count(F.lit(1)).alias("n_entries"), F.count_if(~F.coalesce(good, F.lit(False))).alias("n_corrupt"))
+    c = centroids.clusters(read_table(spark, d, "clusters").select("cluster_id", "centroid"))
+    words = F.transform(F.filter("packed_vector", lambda x: x.isNotNull()), lambda x: F.lpad(F.hex(x), 16, "0"))
+    e = read_table(spark, d, "vector_index").select(
+        F.col("vec_id").alias("doc_id"), F.lit(0).alias("part"), "cluster_id", F.col("quantisation_style").alias("style"), F.col("number_of_bits").alias("bits"), F.col("addition_factor").alias("add"),
+        F.col("scaling_factor").alias("scale"), F.col("error_bound").alias("err"), F.unhex(F.array_join(words, "")).alias("code"),
+    ).distinct()
+    return search.corrupt(e, c, search.Config(dimension=c.dimension, dense_bits=8))
 
 
-SQL["search_corruption"] = "SELECT quantisation_style AS style, count(*) AS n_entries, count(*) FILTER (NOT coalesce(len(packed_vector) = 16 AND cluster_id IS NOT NULL, false)) AS n_corrupt FROM vector_index GROUP BY 1"
+def _texts(spark, d):
+    """Live queue entries with text: (doc_id, text)"""
+    live = queue.deduplicated(read_table(spark, d, "embed_queue"))
+    return live.where("trim(text) <> ''").select(F.col("queue_id").alias("doc_id"), "text")
 
 
-@query()
-def embed_and_search(spark, d):
-    """Documents chunked, embedded by the test embedder, quantised against random centroids and searched by text."""
+def _embedded(spark, d):
+    """All live queue texts chunked, embedded by the test embedder and quantised against random centroids; every text whose id is divisible by 50 is searched for."""
     config = search.Config(dimension=32, n_probes=4, first_pass=200, top_k=10)
     rng = np.random.default_rng(1).standard_normal((16, 32))
     c = centroids.Clusters(np.arange(1, 17), rng / np.linalg.norm(rng, axis=1)[:, None])
     embed = hash_embedder(32)
-    parts = search.document_parts(read_table(spark, d, "embed_queue").where("namespace = 'jobs'").select(F.col("queue_id").alias("doc_id"), "text"), config)
-    entries = Table(search.quantise(embed_column(parts, "payload", embed, 32), c, config), "entries").df
-    sparse, dense = search.embed_query("jobTitle: Nurse, Tide Gauges", embed, config)
-    return search.search(entries, c, sparse, dense, config)
+    vectors = Table(embed_column(search.document_parts(_texts(spark, d), config), "payload", embed, 32), "vectors").df
+    asked = vectors.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("part").alias("chunk"), F.col("embedding").alias("vector"))
+    entries = Table(search.quantise(vectors, c, config), "entries").df
+    return search.search_each(entries, c, asked.where("chunk > 0"), asked.where("chunk = 0").drop("chunk"), config)
+
+
+@query()
+def embed_and_search(spark, d):
+    return _embedded(spark, d)
 
 
 # Embedding queue
@@ -546,7 +626,21 @@ def queue_delete_all(spark, d):
     return queue.without(read_table(spark, d, "embed_queue"), "documents").select("queue_id")
 
 
-@query()
+@query(
+    f"""WITH {_LIVE}, asked AS (SELECT queue_id FROM live WHERE trim(text) <> '' AND queue_id % 50 = 0)
+    SELECT count(*) AS n_queries, count(*) AS n_first FROM asked"""
+)
+def embed_finds_itself(spark, d):
+    """How many texts asked for come first, or with the score of the first, among all texts."""
+    got = _embedded(spark, d)
+    texts = _texts(spark, d)
+    same = got.join(texts.select(F.col("doc_id").alias("query_id"), F.col("text").alias("asked")), "query_id").join(texts, "doc_id")
+    own = same.where("text = asked").groupBy("query_id").agg(F.min("rank").alias("r"))
+    n = texts.where("doc_id % 50 = 0").agg(F.count(F.lit(1)).alias("n_queries"))
+    return n.crossJoin(own.agg(F.count_if(F.col("r") == 1).alias("n_first")))  # one row each
+
+
+@query(f"WITH {_LIVE} SELECT queue_id, namespace, row_number() OVER (PARTITION BY namespace ORDER BY enqueued_at NULLS FIRST, queue_id) AS turn FROM live WHERE coalesce(retry_count, 0) < 5")
 def queue_turns(spark, d):
     return queue.in_turn(queue.deduplicated(read_table(spark, d, "embed_queue"))).select("queue_id", "namespace", "turn")
 
@@ -554,8 +648,6 @@ def queue_turns(spark, d):
 @query()
 def queue_stream(spark, d):
     """Queued entries worked off by the streaming worker: (queue_id, n_chars) as it wrote them."""
-    import uuid
-
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:8]}"
     src = read_table(spark, d, "embed_queue")
     src.select("queue_id", "namespace", "doc_key", "text", "retry_count", "last_error", "enqueued_at").write.parquet(f"{root}/in")
@@ -581,10 +673,16 @@ def reconcile_missing(spark, d):
     return search.missing(read_table(spark, d, "documents").select("doc_id", "text"), read_table(spark, d, "vector_index").select("doc_id"), q).select("doc_id")
 
 
-@query("SELECT v.vec_id, d.source FROM (SELECT vec_id, doc_id FROM vector_index WHERE vec_id BETWEEN 1 AND 50) v JOIN documents d USING (doc_id)")
+@query(
+    """WITH hits AS (SELECT doc_id, max(dot_product::DOUBLE) AS dot FROM query_result JOIN (SELECT DISTINCT vec_id, doc_id FROM vector_index WHERE doc_id IS NOT NULL) USING (vec_id) WHERE dot_product IS NOT NULL GROUP BY doc_id),
+    page AS (SELECT * FROM hits ORDER BY dot DESC, doc_id LIMIT 40 OFFSET 40) SELECT doc_id, source, round(dot, 5) AS dot_product FROM page JOIN documents USING (doc_id)"""
+)
 def hydrate(spark, d):
-    hits = read_table(spark, d, "vector_index").where("vec_id between 1 and 50").select("vec_id", "doc_id")
-    return hits.join(read_table(spark, d, "documents").select("doc_id", "source"), "doc_id").select("vec_id", "source")
+    """The best stored answer of each document; documents of the second page of forty."""
+    of = read_table(spark, d, "vector_index").where("doc_id is not null").select("vec_id", "doc_id").distinct()
+    hits = read_table(spark, d, "query_result").where("dot_product is not null").join(of, "vec_id").groupBy("doc_id").agg(F.max(F.col("dot_product").cast("double")).alias("dot_product"))
+    got = search.hydrated(hits, read_table(spark, d, "documents").select("doc_id", "source"), 2, 40)
+    return got.select("doc_id", "source", F.round("dot_product", 5).alias("dot_product"))
 
 
 @query("SELECT vec_id, quantisation_style AS style FROM vector_index WHERE doc_id IS NOT NULL AND doc_id % 7 <> 0 UNION ALL SELECT -vec_id, quantisation_style FROM vector_index WHERE doc_id % 7 = 0")
@@ -594,19 +692,34 @@ def upsert_vectors(spark, d):
     return search.replace_vectors(v, new).select("vec_id", "style")
 
 
-@query()
+#: The steps of schema_round_trip as text.
+_STEPS = {
+    "start": '[{"attr_type": "str", "description": null, "name": "jobTitle"}], "embedding_fields": [], "indices": [{"field": "agency", "index_type": "str"}]',
+    "drop_index": '[{"attr_type": "str", "description": null, "name": "jobTitle"}, {"attr_type": "str", "description": null, "name": "agency"}], "embedding_fields": [], "indices": []',
+    "add_index": '[{"attr_type": "str", "description": null, "name": "jobTitle"}], "embedding_fields": [], "indices": [{"field": "agency", "index_type": "str"}]',
+    "embed": '[{"attr_type": "str", "description": null, "name": "jobTitle"}, {"attr_type": "str", "description": null, "name": "summary"}], "embedding_fields": ["summary"], "indices": [{"field": "agency", "index_type": "str"}]',
+}
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{k}' AS step, '{{"attributes": {v}, "key_type": "u64", "namespace": "jobs", "semantic_search_enabled": {'true' if k == 'embed' else 'false'}, "store_type": "doc"}}' AS schema""" for k, v in _STEPS.items()
+    )
+)
 def schema_round_trip(spark, d):
-    """A schema taken through its amendments, as text: (step, schema)."""
-    s = DocSchema("jobs", "u64", (Attribute("jobTitle", "str"),), (Index("agency", "str"),))
-    steps = [("start", s), ("drop_index", s := s.drop_index("agency")), ("add_index", s := s.add_index("agency", "str")), ("embed", s := s.add_embedding_attribute("summary"))]
-    return spark.createDataFrame([(n, json.dumps(json.loads(x.to_json()), sort_keys=True)) for n, x in steps], "step string, schema string")
+    """A store's schema through its amendments, exported after each: (step, schema)."""
+    e = _engine(spark)
+    e.create_store(DocSchema("jobs", "u64", (Attribute("jobTitle", "str"),), (Index("agency", "str"),)))
+    out = [("start", e.export_schema("jobs"))]
+    for step, change in (("drop_index", ("drop_index", "agency")), ("add_index", ("add_index", "agency", "str")), ("embed", ("add_embedding_attribute", "summary"))):
+        e.amend("jobs", *change)
+        out.append((step, e.export_schema("jobs")))
+    return spark.createDataFrame([(n, json.dumps(json.loads(x), sort_keys=True)) for n, x in out], "step string, schema string")
 
 
-@query()
+@query("SELECT CASE WHEN dense THEN 'MultiBit' ELSE 'SingleBit' END AS style, CASE WHEN dense THEN 8 ELSE 1 END AS bits, count(*) AS n, CASE WHEN dense THEN any_value(len(embedding)) ELSE (any_value(len(embedding)) + 63) // 64 * 8 END AS code_bytes FROM (SELECT embedding, false AS dense FROM embeddings UNION ALL SELECT embedding, true FROM embeddings WHERE vec_id % 5 = 0) GROUP BY dense")
 def quantise_golden(spark, d):
-    """Codes of each embedding against its centroid: (doc_id, bits, n_codes, err) of documents made of five embeddings."""
+    """Entries of all documents, made of five embeddings each: (style, bits, n, code_bytes)."""
     c = _clusters(spark, d)
     e = _index(spark, d, c, search.Config(dimension=c.dimension))
-    return e.groupBy("style", "bits").agg(F.count(F.lit(1)).alias("n"), F.max("err").alias("most_err"))
-
-
+    return e.groupBy("style", "bits").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("code")).cast("bigint").alias("code_bytes"))

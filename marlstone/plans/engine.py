@@ -484,11 +484,20 @@ class Engine:
         return int(key) if s.key_type == "int" else str(key)
 
     def _put_values(self, s: KvSchema, rows: DataFrame) -> None:
-        last = rows.select("key", "value", F.monotonically_increasing_id().alias("i")).groupBy("key").agg(F.max_by("value", "i").alias("value"))
-        seq = self._seq()
-        self._append(s, last.select("key", F.lit(seq).alias("seq"), F.lit(int(time.time() * 1000)).cast("bigint").alias("epoch_ms"), F.lit(cl.PUT).alias("op"), "value"))
-        if s.semantic_search_enabled:
-            self._enqueue(s.namespace, last.select(F.col("key").cast("string").alias("doc_key"), F.col("value").alias("text")), seq)
+        with scratch():
+            given = Table(rows.select("key", "value", F.monotonically_increasing_id().alias("i")), "put").df
+            last = given.groupBy("key").agg(F.max_by("value", "i").alias("value"))
+            seq = self._seq()
+            self._append(s, last.select("key", F.lit(seq).alias("seq"), F.lit(int(time.time() * 1000)).cast("bigint").alias("epoch_ms"), F.lit(cl.PUT).alias("op"), "value"))
+            if s.semantic_search_enabled:
+                self._enqueue(s.namespace, last.select(F.col("key").cast("string").alias("doc_key"), F.col("value").alias("text")), seq)
+
+    def put_values(self, ns: str, rows: DataFrame) -> None:
+        """Upsert (key, value) rows."""
+        s = self.kv_schema(ns)
+        if rows.where("key is null or value is null").limit(1).count():
+            raise SchemaError("a key or value is null")
+        self._put_values(s, rows)
 
     def kv_put(self, ns: str, key: Any, value: Any) -> None:
         s = self.kv_schema(ns)

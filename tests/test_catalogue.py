@@ -41,14 +41,5 @@ def test_query(spark, con, name):
         assert mine == sorted(tuple(canon(r[c]) for c in sorted(want.columns)) for r in want.to_dict("records"))
 
 
-@pytest.mark.parametrize("name,where", [("two_pass_search", "true"), ("two_pass_search_filtered", "vec_id // 5 IN (SELECT vec_id // 5 FROM embeddings WHERE label IN (1, 3))")])
-def test_two_pass_recall(spark, con, name, where):
-    score = "list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7))"
-    want = {r[0] for r in con.execute(f"SELECT vec_id // 5 FROM embeddings WHERE vec_id % 5 = 0 AND {where} ORDER BY {score} DESC LIMIT 10").fetchall()}
-    got = {r["doc_id"] for r in catalogue.QUERIES[name](spark, DIR).collect()}
-    print(name, "recall", len(got & want) / len(want))
-    assert len(got & want) >= 0.9 * len(want)
-
-
 def test_flagship(spark):
     assert catalogue.flagship(spark, DIR).count() == 20

@@ -6,7 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from marlstone.operators import changelog as cl
-from marlstone.operators import exact, rabitq, rowsets, scans, search, skew
+from marlstone.operators import blocks, exact, rabitq, rowsets, scans, search, skew
 from marlstone.sources import centroids, jsonl
 from marlstone.sources.embedder import EmbeddingError, checked, hash_embedder, probe
 from marlstone.streaming import queue
@@ -193,6 +193,63 @@ def test_exact_operators(spark):
     assert [r[0] for r in exact.top_k(df, "i", "v", np.array([1.0, 0.0]), 2).collect()] == [1, 3]
 
 
+def brute_best(x, q, docs, k):
+    """{query: [(doc, score)]} of summed chunk maxima."""
+    out = {}
+    for i in sorted({a for a, _, _ in q}):
+        per = {}
+        for d in set(docs):
+            m = [max(float(np.dot(v, x[r])) for r in range(len(x)) if docs[r] == d) for a, _, v in q if a == i]
+            per[d] = sum(m)
+        out[i] = sorted(per.items(), key=lambda p: (-round(p[1], 9), p[0]))[:k]
+    return out
+
+
+@pytest.mark.parametrize("block", [10_000, 15])
+def test_blocks_against_brute_force(spark, monkeypatch, block):
+    """Document 3 holds a third of all rows, more than a small block; rows repeat, some have no vector."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", block)
+    monkeypatch.setattr(blocks, "BLOCK_QUERIES", 2)
+    rng = np.random.default_rng(6)
+    docs = [3 if i % 3 == 0 else int(i % 11) for i in range(90)]
+    x = rng.standard_normal((90, 4))
+    x[7] = x[8]
+    df = spark.createDataFrame([(d, v.tolist()) for d, v in zip(docs, x)] + [(50, None), (51, [1.0]), (None, [1.0] * 4)], "d bigint, v array<double>").withColumn("rank", F.lit(1))
+    q = [(i, c, rng.standard_normal(4)) for i in range(5) for c in range(1 + i % 3)]
+    asked = spark.createDataFrame([(i, c, v.tolist()) for i, c, v in q], "query_id bigint, chunk int, vector array<double>")
+    want = brute_best(x, q, docs, 4)
+    got = {}
+    for r in exact.max_sim_each(df, "d", "v", asked, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["d"], r["score"]))
+    assert {i: [(d, pytest.approx(s)) for d, s in v] for i, v in want.items()} == got
+    assert exact.max_sim_each(df, "d", "v", asked.limit(0), 4).count() == 0 and exact.max_sim_each(df.limit(0), "d", "v", asked, 4).count() == 0
+    names = df.withColumn("d", F.concat(F.lit("k"), "d"))
+    assert exact.max_sim_each(names, "d", "v", asked, 1).first()["d"].startswith("k")
+
+
+def test_many_searches_are_single_ones(spark):
+    config = search.Config(dimension=8, n_probes=2, first_pass=6, top_k=4)
+    rng = np.random.default_rng(2)
+    c = centroids.Clusters(np.arange(1, 6), rng.standard_normal((5, 8)))
+    vec = [(d, p, (c.matrix[(d + p) % 5] + 0.3 * rng.standard_normal(8)).tolist()) for d in range(20) for p in range(4)]
+    e = search.quantise(spark.createDataFrame(vec, "doc_id bigint, part int, embedding array<double>"), c, config).cache()
+    qs = {i: rng.standard_normal((3, 8)) for i in range(3)}
+    sparse = spark.createDataFrame([(i, k, v.tolist()) for i, m in qs.items() for k, v in enumerate(m)], "query_id bigint, chunk int, vector array<double>")
+    dense = sparse.where("chunk = 0").select("query_id", "vector")
+    ok = spark.createDataFrame([(i,) for i in range(0, 20, 2)], "doc_id bigint")
+    for allowed in (None, ok):
+        got = {}
+        for r in search.search_each(e, c, sparse, dense, config, allowed).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["doc_id"], pytest.approx(r["dot_product"])))
+        assert got == {i: [(r["doc_id"], r["dot_product"]) for r in search.search(e, c, m, m[0], config, allowed).collect()] for i, m in qs.items()}
+
+
+def test_numbered_rows(spark):
+    df = spark.createDataFrame([(i * 7 % 101 - 50,) for i in range(101)], "k bigint").repartition(5)
+    assert [r["pos"] for r in scans.numbered(df, "k").orderBy("k").collect()] == list(range(1, 102)) and scans.numbered(df.limit(0), "k").count() == 0
+    assert {r["k"]: r["pos"] for r in scans.numbered(df, "k", compat=True).collect()}[-50] == 52
+
+
 def test_reconcile(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, " "), (4, None), (5, "e")], "doc_id bigint, text string")
     have, queued = spark.createDataFrame([(1,), (None,)], "doc_id bigint"), spark.createDataFrame([(5,)], "doc_id bigint")
