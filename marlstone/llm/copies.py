@@ -86,7 +86,7 @@ def job_records(jobs: DataFrame, fields: tuple[str, ...] = ("agency", "jobTitle"
     """(src, id, fields) of rows whose id and fields aren't null."""
     rows = jobs.select(F.col(row_id).alias("id"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)])
     whole = reduce(lambda a, b: a & b, [F.col(f"f{i}").isNotNull() for i in range(len(fields))], F.col("id").isNotNull())
-    named = F.array(*[F.struct(F.lit(f.lower()).alias("name"), F.col(f"f{i}").alias("value")) for i, f in enumerate(fields)])
+    named = F.array(*[F.struct(F.lit(str(i)).alias("name"), F.col(f"f{i}").alias("value")) for i in range(len(fields))])
     return rows.where(whole).select(F.lit("jobs").alias("src"), "id", named.alias("fields"))
 
 
