@@ -1,11 +1,13 @@
 """Problem 8: held-out passages inside a corpus.
 
 Method: latent semantic retrieval. Documents are cut into overlapping passages;
-a randomised SVD of their TF-IDF matrix, distributed over the corpus, gives a
-latent space in which passages of documents and of test items are compared by
-cosine. Candidate pairs are then aligned word by word: the longest common
-subsequence along a band must hold at least half of the item with at most one
-word in ten differing.
+a randomised SVD of their TF-IDF matrix (a random start, one power iteration
+over the corpus, the small eigenproblem in the driver), distributed over the
+corpus, gives a latent space in which passages of documents and of test items
+are compared by cosine. Item passages lie in inverted lists, and a document
+passage is compared with those of the lists near it. Candidate pairs are then
+aligned word by word: the longest common subsequence along a band must hold at
+least half of the item with at most one word in ten differing.
 
 The corpus' own topics would fill a small latent space, so the items' passages
 enter the decomposition with the same total weight as the corpus' passages.
@@ -29,9 +31,12 @@ DIMS = 1 << 14  # hashed vocabulary
 RANK = 64
 COSINE = 0.55  # least latent cosine of a candidate
 PART, DIFFER = 2, 10  # at least 1/PART of the item's words, at most 1 in DIFFER differs
-BAND = 7  # words that may be missing or added on the way
-ITEMS = 4000  # items that are searched in one pass; more are searched in blocks
-BATCH = 200  # texts whose running sums are taken at once, in single precision
+BAND = 7  # words that may be missing or added on the way, more in items of over 140 words: one in DIFFER of the least stretch
+WIDTHS = (24, 12, 6, 4)  # words of a passage; an item is searched by the widest of which its least stretch holds any at least once
+ITEMS, ITEM_WORDS = 4000, 1_000_000  # items, and their words, that are searched in one pass; more are searched in blocks
+BATCH_WORDS = 1 << 17  # words whose passages are taken at once; longer texts are cut into overlapping parts
+LIST_ITEMS = 64  # item passages of an inverted list, on average
+LEAST_LISTS, FAR = 2, 0.1  # lists probed in any case; the quantile of a list's members, by nearness to its centre, that stands for the farther ones
 SLICES = 16  # in which partial sums of the decomposition are added up
 MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|&(?:[A-Za-z]{2,8}|#\d{1,6}|#x[0-9A-Fa-f]{1,6});|[\u00ad\u200b-\u200d\u2060\ufeff]")
 WORD = re.compile(r"[^\W_]+")
@@ -58,48 +63,61 @@ def hashed_words(docs: DataFrame) -> DataFrame:
     return spread(docs.select("doc_id", "text").where("doc_id is not null and text is not null")).mapInPandas(run, "doc_id bigint, w binary")
 
 
-def window_starts(n: int, width: int, step: int) -> np.ndarray:
-    """Starts of passages; the last one ends with the text."""
-    if n <= width:
-        return np.zeros(1, np.int64)
-    s = np.arange(0, n - width + 1, step)
-    return s if s[-1] == n - width else np.append(s, n - width)
-
-
 class Passages:
-    """Passages of many texts at once: all words end to end, and where each passage begins and ends."""
-
-    def __init__(self, texts: list[np.ndarray], width: int, step: int) -> None:
-        size = np.array([len(t) for t in texts], np.int64)
-        self.words = np.concatenate(texts) if len(texts) else np.zeros(0, np.uint32)
-        self.dims = (self.words * np.uint32(2654435761)) >> np.uint32(32 - 14)
-        base = np.concatenate([[0], np.cumsum(size)])
-        starts = [window_starts(n, width, step) for n in size]
-        self.owner = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
-        self.begin = (np.concatenate(starts) if starts else np.zeros(0, np.int64)) + base[self.owner]
-        self.end = np.minimum(self.begin + width, base[self.owner + 1])
-        full = self.end > self.begin
-        self.owner, self.begin, self.end = self.owner[full], self.begin[full], self.end[full]
+    """Passages of two neighbouring blocks of ``step`` words each, of many texts at once; the last block of a text may be shorter."""
+
+    def __init__(self, texts: list[np.ndarray], step: int, owners: list[int] | None = None) -> None:
+        some = [i for i, t in enumerate(texts) if len(t)]
+        size = np.array([len(texts[i]) for i in some], np.int64)
+        words = np.concatenate([texts[i] for i in some]) if some else np.zeros(0, np.uint32)
+        self.dims = (words * np.uint32(2654435761)) >> np.uint32(32 - 14)
+        n = -(-size // step)  # blocks of each text
+        first = np.concatenate([[0], np.cumsum(n)])
+        at = np.arange(first[-1]) - np.repeat(first[:-1], n)
+        self.grid = np.full((len(at), step), DIMS, np.int32)  # dimensions of the words of each block; DIMS where there is none
+        word = np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size)
+        self.grid[np.repeat(first[:-1], size) + word // step, word % step] = self.dims
+        last = np.zeros(len(at), bool)
+        last[first[1:] - 1] = True
+        self.left = np.flatnonzero(~last | (np.repeat(n, n) == 1))  # first block of each passage
+        self.right = np.where(last[self.left], self.left, self.left + 1)
+        ids = np.array(owners if owners is not None else range(len(texts)), np.int64)
+        self.owner = np.repeat(ids[some], n)[self.left] if some else np.zeros(0, np.int64)
 
     def project(self, weighted: np.ndarray) -> np.ndarray:
-        """TF-IDF rows times a basis that already carries the IDF weights: running sums make every passage two look-ups."""
-        run = np.zeros((len(self.words) + 1, weighted.shape[1]), np.float32)
-        np.cumsum(weighted[self.dims], axis=0, out=run[1:])
-        return run[self.end] - run[self.begin]
+        """TF-IDF rows times a basis that already carries the IDF weights."""
+        zero = np.concatenate([weighted, np.zeros((1, weighted.shape[1]), np.float32)])
+        per = zero[self.grid[:, 0]]
+        for i in range(1, self.grid.shape[1]):
+            per += zero[self.grid[:, i]]
+        return np.where((self.left != self.right)[:, None], per[self.left] + per[self.right], per[self.left])
 
     def back(self, z: np.ndarray) -> np.ndarray:
         """The transposed term-frequency matrix times ``z``."""
-        mark = np.zeros((len(self.words) + 1, z.shape[1]), np.float32)
-        mark[self.begin] += z  # no two passages begin, or end, at the same word
-        mark[self.end] -= z
-        per = np.cumsum(mark, axis=0)[:-1]
-        order = np.argsort(self.dims, kind="stable")
-        d = self.dims[order]
-        out = np.zeros((DIMS, z.shape[1]))
-        if len(d):
-            first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-            out[d[first]] = np.add.reduceat(per[order], first, axis=0)
-        return out
+        per = np.zeros((len(self.grid), z.shape[1]), np.float32)
+        per[self.left] += z  # no block is the first, or the second, of two passages
+        two = self.left != self.right
+        per[self.right[two]] += z[two]
+        block = np.repeat(np.arange(len(self.grid)), (self.grid < DIMS).sum(1))
+        return np.stack([np.bincount(self.dims, column[block], DIMS) for column in np.ascontiguousarray(per.T)], 1)
+
+
+def batches_of(texts: list[np.ndarray], step: int) -> Iterator[Passages]:
+    """Passages of all texts, BATCH_WORDS or so at a time; ``owner`` is the place of the text."""
+    got: list[np.ndarray] = []
+    whose: list[int] = []
+    n, most = 0, BATCH_WORDS // step * step
+    for i, t in enumerate(texts):
+        for at in range(0, max(1, len(t) - step), most - step):  # parts overlap by a block
+            part = t[at : at + most]
+            got.append(part)
+            whose.append(i)
+            n += len(part)
+            if n >= BATCH_WORDS:
+                yield Passages(got, step, whose)
+                got, whose, n = [], [], 0
+    if got:
+        yield Passages(got, step, whose)
 
 
 def _texts(column) -> list[np.ndarray]:
@@ -135,25 +153,41 @@ def document_frequency(docs: DataFrame) -> np.ndarray:
     return _summed(docs.select("w").mapInArrow(run, "slice int, part binary"), 1)[:, 0]
 
 
-def latent_basis(docs: DataFrame, items: list[np.ndarray], idf: np.ndarray, width: int, step: int) -> np.ndarray:
-    """An orthonormal basis (DIMS x RANK) of the range of A'A by one pass of a randomised range finder over all passages."""
-    start = (np.random.default_rng(3).standard_normal((DIMS, RANK)) * idf[:, None]).astype(np.float32)
+def _gram(rows: DataFrame, basis: np.ndarray, idf: np.ndarray, step: int) -> np.ndarray:
+    """A'A times a basis, for the TF-IDF matrix A of all passages of ``rows``; one pass over them."""
+    shared = rows.sparkSession.sparkContext.broadcast((basis * idf[:, None]).astype(np.float32))  # DIMS x RANK numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((DIMS, RANK))
+        weighted, total = shared.value, np.zeros((DIMS, RANK))
         for b in batches:
-            texts = _texts(b.column("w"))
-            for at in range(0, len(texts), BATCH):
-                p = Passages(texts[at : at + BATCH], width, step)
-                total += p.back(p.project(start))
-        yield _sliced(total * idf[:, None])
+            for p in batches_of(_texts(b.column("w")), step):
+                total += p.back(p.project(weighted))
+        yield _sliced(total)
+
+    return _summed(rows.select("w").mapInArrow(run, "slice int, part binary"), RANK) * idf[:, None]
 
-    corpus = _summed(docs.select("w").mapInArrow(run, "slice int, part binary"), RANK)
-    p = Passages(items, width, step)
-    own = p.back(p.project(start)) * idf[:, None]
-    scale = lambda m: m / (np.sqrt((m**2).sum()) or 1.0)
-    q, _ = np.linalg.qr(scale(corpus) + scale(own))
-    return q
+
+def latent_basis(docs: DataFrame, items: DataFrame, idf: np.ndarray, step: int = WIDTHS[0] // 2) -> tuple[np.ndarray, np.ndarray]:
+    """Right singular vectors (DIMS x RANK) and singular values of the passages of corpus and items, both of the same total weight.
+
+    Randomised: A'A is applied to a random start, the result is made
+    orthonormal, A'A is applied once more, and the small matrix that this gives
+    is solved. Two passes over the corpus, whatever the number of items.
+    """
+    size = None
+
+    def apply(basis: np.ndarray) -> np.ndarray:
+        nonlocal size
+        parts = [_gram(rows, basis, idf, step) for rows in (docs, items)]
+        if size is None:
+            size = [np.sqrt((m**2).sum()) or 1.0 for m in parts]
+        return sum(m / x for m, x in zip(parts, size))
+
+    q, _ = np.linalg.qr(apply(np.random.default_rng(3).standard_normal((DIMS, RANK))))
+    small = q.T @ apply(q)
+    value, u = np.linalg.eigh((small + small.T) / 2)
+    order = np.argsort(-value)
+    return q @ u[:, order], np.sqrt(np.maximum(value[order], 0))
 
 
 def _unit(z: np.ndarray) -> np.ndarray:
@@ -189,9 +223,10 @@ def aligned(item: np.ndarray, doc: np.ndarray, shift: int) -> bool:
     """
     n = len(item)
     need = -(-n // PART)
+    band = max(BAND, need // DIFFER + 1)
     runs: list[tuple[int, int, int]] = []  # item start, doc start, length
     near = np.zeros(n, bool)
-    for s in range(shift - BAND, shift + BAND + 1):
+    for s in range(shift - band, shift + band + 1):
         lo, hi = max(0, -s), min(n, len(doc) - s)
         if hi <= lo:
             continue
@@ -224,15 +259,50 @@ def aligned(item: np.ndarray, doc: np.ndarray, shift: int) -> bool:
     return False
 
 
+def width_of(n: int) -> int:
+    """The passage width for an item of n words: with blocks of half of it, any least stretch holds a whole passage."""
+    half = -(-n // PART)
+    return next((w for w in WIDTHS if 2 * half >= 3 * w), WIDTHS[-1])
+
+
+class Lists:
+    """Passages of items in latent space, in inverted lists around centres."""
+
+    def __init__(self, z: np.ndarray, owner: np.ndarray) -> None:
+        k = max(1, len(z) // LIST_ITEMS)
+        rng = np.random.default_rng(4)
+        c = z[rng.choice(len(z), k, replace=False)]
+        for _ in range(6):
+            lab = (z @ c.T).argmax(1)
+            c = np.stack([z[lab == i].sum(0) if (lab == i).any() else c[i] for i in range(k)])
+            c = _unit(c)
+        lab = (z @ c.T).argmax(1)
+        self.centres = c
+        self.members = [(z[lab == i], owner[lab == i]) for i in range(k)]
+        self.inside = np.array([float(np.quantile(m @ c[i], FAR)) if len(m) else 9.0 for i, (m, _) in enumerate(self.members)])
+
+    def near(self, z: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row of z, item) pairs with a cosine of at least ``cosine``, from the nearest lists and those whose centre is as near as one of their farther members at that cosine is expected to make it."""
+        s = z @ self.centres.T
+        k = min(LEAST_LISTS, s.shape[1])
+        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if len(s) else np.zeros(0)
+        rows, items = [], []
+        for i, (m, owner) in enumerate(self.members):
+            at = np.flatnonzero((s[:, i] >= cosine * self.inside[i]) | (s[:, i] >= least))
+            if len(at):
+                r, j = np.nonzero(z[at] @ m.T >= cosine)
+                rows.append(at[r])
+                items.append(owner[j])
+        if not rows:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(rows), np.concatenate(items)
+
+
 class Items:
     """Test items, their passages in latent space, and their word runs in order."""
 
     def __init__(self, ids: list[int], texts: list[np.ndarray]) -> None:
         self.ids, self.texts = ids, texts
-        short = min((len(t) for t in texts), default=0)
-        half = -(-short // PART)
-        self.width = max(4, min(24, half * 4 // 7))
-        self.step = max(1, self.width // 2)
         by: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for i, t in enumerate(texts):
             k = run_length(len(t))
@@ -244,9 +314,17 @@ class Items:
             o = np.argsort(g, kind="stable")
             self.runs[k] = (g[o], i[o], at[o])
 
-    def latent(self, weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        p = Passages(self.texts, self.width, max(1, self.step // 3))
-        return _unit(p.project(weighted)), p.owner
+    def latent(self, weighted: np.ndarray) -> dict[int, Lists]:
+        """Per passage width the items of that width; their passages begin at every sixth of it, so one of them lies nearly as a document's does."""
+        out = {}
+        for width in WIDTHS:
+            mine = [i for i, t in enumerate(self.texts) if width_of(len(t)) == width]
+            step, shift = width // 2, max(1, width // 6)
+            cut = [(i, self.texts[i][at:]) for i in mine for at in range(0, step, shift) if at == 0 or len(self.texts[i]) - at >= width]
+            if cut:
+                p = Passages([t for _, t in cut], step, [i for i, _ in cut])
+                out[width] = Lists(_unit(p.project(weighted)), p.owner)
+        return out
 
     def leaked(self, doc: np.ndarray, candidates: np.ndarray) -> list[int]:
         """Ids of the candidate items (rows, as mask) of which the document holds a stretch that counts."""
@@ -268,52 +346,42 @@ class Items:
 def leaks(docs: DataFrame, items: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(doc_id, item_id): documents that hold an unbroken stretch of at least half of an item.
 
-    Items are the stated query set; they go to every task in blocks of ITEMS.
-    Null texts or ids take no part, an item without words leaks nowhere, and
-    repeated rows count once. Document statistics, the decomposition and the
-    search cover whole texts of all documents.
+    Items are the stated query set; they go to every task in blocks of about
+    ITEMS items and ITEM_WORDS words. Null texts or ids take no part, an item
+    without words leaks nowhere, and repeated rows count once. Document
+    statistics, the decomposition and the search cover whole texts of all
+    documents; the decomposition is made once for all items.
     """
     spark = docs.sparkSession
     hashes = Table(hashed_words(docs), "words").df
-    rows = items.select("item_id", "text").where("item_id is not null and text is not null").distinct().orderBy("item_id").collect()
-    given = [(r[0], hashed(r[1])) for r in rows]
-    given = [(i, w) for i, w in given if len(w)]
-    out = spark.createDataFrame([], "doc_id bigint, item_id bigint")
-    if not given:
-        return out
+    asked = hashed_words(items.select(F.col("item_id").alias("doc_id"), "text").distinct()).where(F.octet_length("w") > 0)
+    asked = Table(asked, "items").df
+    n_items, n_words = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("w")), F.lit(0)) / 4).first()
+    if not n_items:
+        return spark.createDataFrame([], "doc_id bigint, item_id bigint")
     n = hashes.count()
     idf = np.log((n + 1) / (document_frequency(hashes) + 1)) + 0.1
+    weighted = (latent_basis(hashes, asked, idf)[0] * idf[:, None]).astype(np.float32)
+    blocks = max(-(-n_items // ITEMS), -(-int(n_words) // ITEM_WORDS))
     found = None
-    for at in range(0, len(given), ITEMS):
-        block = given[at : at + ITEMS]
-        it = Items([i for i, _ in block], [w for _, w in block])
-        weighted = (latent_basis(hashes, it.texts, idf, it.width, it.step) * idf[:, None]).astype(np.float32)
-        latent, owner = it.latent(weighted)
-        shared = spark.sparkContext.broadcast((it, weighted, latent, owner))  # bounded by ITEMS and DIMS x RANK
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("doc_id", "w"), F.lit(blocks)) == block).orderBy("doc_id", "w").collect()  # about ITEMS rows, see above
+        it = Items([r[0] for r in rows], [np.frombuffer(r[1], np.uint32) for r in rows])
+        shared = spark.sparkContext.broadcast((it, weighted, it.latent(weighted)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            it, weighted, latent, owner = shared.value
-            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            which = owner[first]
+            it, weighted, lists = shared.value
             for b in batches:
                 ids, texts = b.column("doc_id").to_pylist(), _texts(b.column("w"))
-                got = []
-                for lo in range(0, len(texts), BATCH):
-                    part = texts[lo : lo + BATCH]
-                    p = Passages(part, it.width, it.step)
-                    z = _unit(p.project(weighted))
-                    hits: dict[int, np.ndarray] = {}
-                    for c in range(0, len(z), 1024):
-                        s = z[c : c + 1024] @ latent.T
-                        best = np.flatnonzero(s.max(1) >= cosine)
-                        if not len(best):
-                            continue
-                        per = np.maximum.reduceat(s[best], first, axis=1) >= cosine
-                        for x, m in zip(p.owner[c + best].tolist(), per):
-                            mask = hits.setdefault(x, np.zeros(len(it.ids), bool))
-                            mask[which[m]] = True
-                    for x, mask in hits.items():
-                        got += [(ids[lo + x], i) for i in it.leaked(part[x], mask)]
+                hits: dict[int, np.ndarray] = {}
+                for width, near in lists.items():
+                    for p in batches_of(texts, width // 2):
+                        row, item = near.near(_unit(p.project(weighted)), cosine)
+                        for x, i in zip(p.owner[row].tolist(), item.tolist()):
+                            if x not in hits:
+                                hits[x] = np.zeros(len(it.ids), bool)
+                            hits[x][i] = True
+                got = [(ids[x], i) for x, mask in hits.items() for i in it.leaked(texts[x], mask)]
                 if got:
                     a, c = zip(*got)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["doc_id", "item_id"])

@@ -419,6 +419,88 @@ def test_run_length_is_a_bound():
             assert -(-(length - d) // (d + 1)) >= k
 
 
+def dense_passages(texts, step):
+    """Term frequencies of all passages by hand."""
+    out = []
+    for i, t in enumerate(texts):
+        blocks = [t[a : a + step] for a in range(0, len(t), step)]
+        for j in range(max(1, len(blocks) - 1) if blocks else 0):
+            row = np.zeros(leaks.DIMS)
+            for w in np.concatenate(blocks[j : j + 2]):
+                row[(int(w) * 2654435761 % 2**32) >> 18] += 1
+            out.append((i, row))
+    return out
+
+
+def test_passages_against_dense_matrices(monkeypatch):
+    rng = np.random.default_rng(0)
+    texts = [rng.integers(0, 2**32, n, dtype=np.uint32) for n in (0, 1, 5, 6, 7, 12, 40, 0, 13)]
+    basis = rng.standard_normal((leaks.DIMS, 4)).astype(np.float32)
+    want = dense_passages(texts, 6)
+    a = np.stack([r for _, r in want])
+    p = leaks.Passages(texts, 6)
+    assert p.owner.tolist() == [i for i, _ in want] and np.allclose(p.project(basis), a @ basis, atol=1e-4)
+    z = rng.standard_normal((len(want), 4)).astype(np.float32)
+    assert np.allclose(p.back(z), a.T @ z, atol=1e-4)
+    monkeypatch.setattr(leaks, "BATCH_WORDS", 18)  # long texts in parts have the same passages
+    parts = list(leaks.batches_of(texts, 6))
+    rows = sorted((int(o), tuple(np.round(v, 3))) for q in parts for o, v in zip(q.owner, q.project(basis)))
+    assert len(parts) > 3 and rows == sorted((int(o), tuple(np.round(v, 3))) for o, v in zip(p.owner, p.project(basis)))
+    assert list(leaks.batches_of([], 6)) == [] and leaks.Passages([texts[0]], 6).project(basis).shape == (0, 4)
+
+
+def test_decomposition_is_the_singular_one(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "RANK", 12)
+    rng = np.random.default_rng(2)
+    topics = [rng.integers(0, 2**32, 12, dtype=np.uint32) for _ in range(4)]
+    texts = [rng.choice(topics[i % 4], 24) for i in range(60)]
+    hashed = lambda ts: spark.createDataFrame([(i, t.tobytes()) for i, t in enumerate(ts)], "doc_id bigint, w binary")
+    idf = np.ones(leaks.DIMS)
+    basis, sigma = leaks.latent_basis(hashed(texts), hashed(texts[:8]), idf)
+    a, b = (np.stack([r for _, r in dense_passages(ts, 12)]) for ts in (texts, texts[:8]))
+    start = np.random.default_rng(3).standard_normal((leaks.DIMS, 12))
+    m = sum(x.T @ x / np.sqrt(((x.T @ (x @ start)) ** 2).sum()) for x in (a, b))
+    true = np.sqrt(np.maximum(np.linalg.eigvalsh(m)[::-1], 0))
+    assert np.allclose(sigma[:4], true[:4], rtol=0.02) and (np.diff(sigma) <= 1e-9).all()
+    assert np.allclose(basis.T @ basis, np.eye(12), atol=1e-4)
+
+
+def test_lists_lose_little():
+    rng = np.random.default_rng(1)
+    unit = lambda m: (m / np.linalg.norm(m, axis=1)[:, None]).astype(np.float32)
+    heads = unit(rng.standard_normal((30, 32)))
+    z, owner = unit(np.repeat(heads, 20, 0) + 0.1 * rng.standard_normal((600, 32))), np.repeat(np.arange(30), 20)
+    q = np.concatenate([unit(z[::10] + 0.05 * rng.standard_normal((60, 32))), unit(rng.standard_normal((300, 32)))])
+    true = {(int(i), int(owner[j])) for i, j in zip(*np.nonzero(q @ z.T >= 0.55))}
+    r, i = leaks.Lists(z, owner).near(q, 0.55)
+    got = set(zip(r.tolist(), i.tolist()))
+    near = {(int(i), int(owner[j])) for i, j in zip(*np.nonzero(q @ z.T >= 0.7))}
+    assert got <= true and len(near) >= 60 and near <= got and len(got) >= 0.9 * len(true)  # what is lost lies at the threshold
+
+
+def test_long_and_short_items_have_their_own_widths(spark):
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(1, " ".join(r.sample(words, 8))), (2, " ".join(r.sample(words, 30))), (3, " ".join(r.sample(words, 400))), (4, "only")]
+    assert [leaks.width_of(n) for n in (1, 8, 16, 30, 72, 400)] == [4, 4, 4, 6, 24, 24] or leaks.width_of(400) == 24
+    pad = " ".join(r.sample(words, 60))
+    long = items[2][1].split()
+    for k in range(20, 400, 45):  # drops words over 200 words: more than the least band allows at once
+        long[k] = ""
+    docs = [(i, f"{pad} {t} {pad}") for i, t in items[:3]] + [(7, pad), (8, f"{pad} {' '.join(long)}")]
+    got = leaks.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert set(map(tuple, got.collect())) >= {(1, 1), (2, 2), (3, 3), (8, 3)}
+
+
+def test_leaks_in_blocks_of_items(spark, monkeypatch):
+    r = random.Random(5)
+    items = [(i, " ".join(f"v{r.randrange(500)}" for _ in range(60))) for i in range(12)]
+    docs = [(i, f"{items[i % 12][1]} tail {i}") for i in range(30)]
+    d, t = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    monkeypatch.setattr(leaks, "ITEMS", 4)
+    assert set(map(tuple, leaks.leaks(d, t).collect())) == {(i, i % 12) for i in range(30)}
+
+
 def test_leaks_against_brute_force(spark):
     r = random.Random(7)
     vocab = [f"w{i}" for i in range(400)]
