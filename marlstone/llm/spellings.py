@@ -1,9 +1,10 @@
 """Problem 4: variant spellings of names typed by people.
 
-Method: a trie join. The words of all spellings are sharded into tries, a
-Levenshtein automaton walks each trie and lists the words within one edit
-(insertion, deletion, substitution, swap of neighbours); abbreviations of common
-words are listed beside them. A name whose words, in any order, can be replaced
+Method: a trie join. The words of all spellings are sharded into tries (two words
+one edit apart share a half), a Levenshtein automaton walks each trie and lists
+the words within one edit (insertion, deletion, substitution, swap of
+neighbours); abbreviations of common words are listed beside them. Endings that
+only name a seat ("... head office") are learned from the names. A name whose words, in any order, can be replaced
 by such words so that another name results is linked to that name.
 
 Bounds, alike at every size: a word differs by one edit, a name in at most three
@@ -19,18 +20,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.runtime import Table
+from marlstone.runtime import Table, scratch, spread
 
-#: Words that carry no identity, and endings that name a seat rather than another organisation.
+#: English function words, which carry no identity.
 FILLERS = ("the", "of", "for", "and", "in", "on", "at", "a")
-SEATS = r"( (hq|headquarters|head office|main office|central office))+$"
 #: A word is common if it makes up at least this part of all words of all rows; so there are at most COMMON_SHARE.
 COMMON_SHARE = 20_000
 MAX_CHANGED, MAX_EDITED = 3, 2
 #: An edit, a likely abbreviation, and one that keeps most letters and some vowels.
 EDIT_COST, SHORT_COST, LOOSE_COST = 3, 1, 5
-#: An acronym of a whole name is linked if its most frequent reading has so many times the rows of the next.
+#: An acronym of a whole name is linked if its most frequent reading has so many times the rows of the next; a name without a seat has so many times those with it.
 CLEAR = 5
+SHARD_WORDS = 4096  # words of a trie and words sought in it at once; larger shards are split in both
+ROOT_NAMES = 1000  # spellings of one organisation in a part; each part meets all of its spellings
+PRODUCT = 20_000  # rewritings of a name that are listed in one step; names with more are split by the options of a word
 
 
 def spelling(c: Column) -> Column:
@@ -46,10 +49,26 @@ def spellings(df: DataFrame, column: str) -> DataFrame:
 
 def words_of(name: Column) -> Column:
     """Words that carry identity, in order; a name of fillers alone keeps them."""
-    parts = F.filter(F.split(F.regexp_replace(name, SEATS, ""), " "), lambda w: ~w.isin(*FILLERS))
+    parts = F.filter(F.split(name, " "), lambda w: ~w.isin(*FILLERS))
     return F.when(F.size(parts) > 0, parts).otherwise(F.split(name, " "))
 
 
+def without_seats(names: DataFrame) -> DataFrame:
+    """(name, n, core): names less a learned ending of one or two words; at least two words stay.
+
+    An ending names a seat if at least half of the names that have it are far
+    less frequent (CLEAR) than the same name without it.
+    """
+    w = F.split("name", " ")
+    ends = F.filter(F.array(*[F.when(F.size("w") >= k + 2, F.struct(F.lit(k).alias("k"), F.array_join(F.slice("w", F.size("w") - k + 1, k), " ").alias("end"), F.array_join(F.slice("w", 1, F.size("w") - k), " ").alias("core"))) for k in (1, 2)]), lambda e: e.isNotNull())
+    every = names.select("name", "n", w.alias("w")).select("name", "n", F.explode(ends).alias("e")).select("name", "n", "e.*")
+    known = names.select(F.col("name").alias("core"), F.col("n").alias("m"))
+    per = every.join(known, "core", "left").groupBy("end").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("m") >= CLEAR * F.col("n")).alias("some"))
+    seats = Table(per.where((F.col("some") > 0) & (2 * F.col("some") >= F.col("all"))).select("end"), "seats").df
+    best = every.join(seats, "end").groupBy("name").agg(F.max_by("core", "k").alias("core"))
+    return names.join(best, "name", "left").select("name", "n", F.coalesce("core", "name").alias("core"))
+
+
 class Trie:
     """Words in nested dictionaries; the empty string marks the end of a word."""
 
@@ -111,33 +130,60 @@ def short_cost(short: str, full: str) -> int:
     return SHORT_COST if likely else LOOSE_COST
 
 
-def edits(words: DataFrame) -> DataFrame:
-    """(word, to): words one edit apart, ``to`` being the one with more rows (ties: the larger by code point).
+def shards_of(n: Column, word: Column) -> Column:
+    """Shards of a word of n letters, as array of text.
 
-    A pair of at least five letters agrees in its first two or its last two, a
-    pair of four letters else holds the same letters; these make the shards.
+    Let m be the length of the shorter of two words one edit apart. Either the
+    first m // 2 letters of both agree or the last m - m // 2, or two
+    neighbours in the middle are swapped and both have the same letters.
     """
-    w = words.where(F.length("word") >= 4)
-    shards = F.array(
-        F.concat(F.lit("<"), F.substring("word", 1, 2)),
-        F.concat(F.lit(">"), F.expr("right(word, 2)")),
-        F.when(F.length("word") == 4, F.concat(F.lit("="), F.array_join(F.array_sort(F.split("word", "")), ""))),
-    )
-    rows = w.select("word", "w", F.explode(F.filter(shards, lambda s: s.isNotNull())).alias("shard"))
+    out = [F.concat(F.lit("="), F.array_join(F.array_sort(F.split(word, "")), ""))]
+    for m in (n, n - 1):  # the word may be the shorter one, or the longer
+        half = F.floor(m / 2).cast("int")
+        keys = [F.concat(F.lit("<"), m, F.lit(":"), F.left(word, half)), F.concat(F.lit(">"), m, F.lit(":"), F.right(word, m - half))]
+        out += [F.when(m >= 4, k) for k in keys]
+    return F.filter(F.array(*out), lambda s: s.isNotNull())
+
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        weight = dict(zip(pdf["word"], pdf["w"]))
-        back = str(pdf["shard"].iloc[0]).startswith(">")
-        trie = Trie(x[::-1] if back else x for x in weight)
+def edits(words: DataFrame) -> DataFrame:
+    """(word, to): words one edit apart, ``to`` being the one with more rows (ties: the larger by code point)."""
+    rows = words.where(F.length("word") >= 4).select("word", "w", F.explode(shards_of(F.length("word"), F.col("word"))).alias("shard"))
+    size = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("shard", F.ceil(F.col("k") / SHARD_WORDS).cast("int").alias("c"))
+    rows = rows.join(size, "shard").withColumn("mine", F.pmod(F.xxhash64("word"), F.col("c")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("c") - 1))
+    base = rows.select("shard", F.col("mine").alias("i"), other.alias("j"), "word", "w", F.lit(True).alias("held"))
+    asked = rows.select("shard", other.alias("i"), F.col("mine").alias("j"), "word", "w", F.lit(False).alias("held")).where("i <> j")  # a part's own words are held and asked for
+    spark = words.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    sorted_ = base.unionByName(asked).repartition(tasks, "shard", "i", "j").sortWithinPartitions("shard", "i", "j")
+
+    def walk(key: tuple, held: dict[str, int], sought: dict[str, int]) -> list[tuple[str, str]]:
+        shard, i, j = key
+        back = shard.startswith(">")
+        trie = Trie(x[::-1] if back else x for x in held)
         out = []
-        for x, n in weight.items():
+        for x, n in (held if i == j else sought).items():
             for y in trie.near(x[::-1] if back else x):
                 y = y[::-1] if back else y
-                if (weight[y], y) > (n, x):
+                if (held[y], y) > (n, x):
                     out.append((x, y))
-        return pd.DataFrame(out, columns=["word", "to"])
+        return out
 
-    return rows.groupBy("shard").applyInPandas(walk, "word string, to string").distinct()
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, sought, out = None, {}, {}, []
+        for pdf in batches:
+            for shard, i, j, x, n, h in zip(pdf["shard"], pdf["i"], pdf["j"], pdf["word"], pdf["w"], pdf["held"]):
+                if (shard, i, j) != now:
+                    if now is not None:
+                        out += walk(now, held, sought)
+                    now, held, sought = (shard, i, j), {}, {}
+                (held if h else sought)[x] = n
+            yield pd.DataFrame(out, columns=["word", "to"])
+            out = []
+        if now is not None:
+            yield pd.DataFrame(walk(now, held, sought), columns=["word", "to"])
+
+    return sorted_.mapInPandas(run, "word string, to string").distinct()
 
 
 def shortened(words: DataFrame, common: list[tuple[str, int]]) -> DataFrame:
@@ -154,12 +200,14 @@ def shortened(words: DataFrame, common: list[tuple[str, int]]) -> DataFrame:
     return words.where("length(word) between 2 and 9").mapInPandas(run, "word string, to string, cost int")
 
 
-def rewritten(sig: str, words: list[str], options: dict[str, list[tuple[str, int]]]) -> dict[str, int]:
-    """Sorted word lists that result from changing up to three words, with the least cost of each."""
+def rewritten(sig: str, words: list[str], options: dict[str, list[tuple[str, int]]], must: str | None = None) -> dict[str, int]:
+    """Sorted word lists that result from changing up to three words, with the least cost of each; with ``must`` that word is among them."""
     places = [i for i, w in enumerate(words) if w in options]
     out: dict[str, int] = {}
     for k in range(1, min(MAX_CHANGED, len(places)) + 1):
         for which in combinations(places, k):
+            if must is not None and all(words[i] != must for i in which):
+                continue
             for to in product(*(options[words[i]] for i in which)):
                 if sum(c in (EDIT_COST, EDIT_COST + SHORT_COST, EDIT_COST + LOOSE_COST) for _, c in to) > MAX_EDITED:
                     continue
@@ -173,19 +221,33 @@ def rewritten(sig: str, words: list[str], options: dict[str, list[tuple[str, int
 
 
 def _targets(sigs: DataFrame, options: DataFrame) -> DataFrame:
-    """(sig, target, cost) for every rewriting of every sig that has a word with options."""
+    """(sig, target, cost) for every rewriting of every sig that has a word with options.
+
+    A sig with more than PRODUCT rewritings is several rows, each with a part
+    of the options of its word with most of them, so no task lists them all.
+    """
     at = sigs.select("sig", "words", F.explode(F.array_distinct("words")).alias("word"))
-    per = at.join(options, "word").groupBy("sig").agg(F.first("words").alias("words"), F.collect_list(F.struct("word", "to")).alias("o"))
+    per = at.join(options, "word").groupBy("sig").agg(F.first("words").alias("words"), F.sort_array(F.collect_list(F.struct(F.size("to").alias("n"), "word", "to")), False).alias("o"))
+    most = F.aggregate(F.slice("o", 1, MAX_CHANGED), F.lit(1.0), lambda p, x: p * (x["n"] + 1))
+    parts = F.least(F.ceil(most / PRODUCT), F.col("o")[0]["n"].cast("bigint")).cast("int")
+    cut = per.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    step = F.ceil(F.col("o")[0]["n"] / F.col("parts")).cast("int")
+    first = F.col("o")[0]
+    mine = F.concat(F.array(F.struct(first["n"].alias("n"), first["word"].alias("word"), F.slice(first["to"], F.col("part") * step + 1, step).alias("to"))), F.slice("o", 2, F.greatest(F.size("o") - 1, F.lit(0))))
+    rows = spread(cut.select("sig", "words", "part", mine.alias("o")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for sig, words, o in zip(pdf["sig"], pdf["words"], pdf["o"]):
+            for sig, words, part, o in zip(pdf["sig"], pdf["words"], pdf["part"], pdf["o"]):
                 opt = {x["word"]: [(y["to"], int(y["cost"])) for y in x["to"]] for x in o}
-                out += [(sig, t, c) for t, c in rewritten(sig, list(words), opt).items()]
+                out += [(sig, t, c) for t, c in rewritten(sig, list(words), opt, o[0]["word"] if part else None).items()]
+                if len(out) >= PRODUCT:
+                    yield pd.DataFrame(out, columns=["sig", "target", "cost"])
+                    out = []
             yield pd.DataFrame(out, columns=["sig", "target", "cost"])
 
-    return per.mapInPandas(run, "sig string, target string, cost int")
+    return rows.mapInPandas(run, "sig string, target string, cost int").groupBy("sig", "target").agg(F.min("cost").alias("cost"))
 
 
 def _acronyms(free: DataFrame) -> DataFrame:
@@ -223,8 +285,8 @@ def _left_out(sigs: DataFrame, free: DataFrame) -> DataFrame:
 def links(names: DataFrame) -> DataFrame:
     """(name, root): every spelling with the word list of the organisation it means.
 
-    Spellings with the same words in another order, or with fillers and seats
-    more or less, meet at once. Each other word list has at most one parent:
+    Spellings with the same words in another order, or with fillers and learned
+    endings more or less, meet at once. Each other word list has at most one parent:
     the existing list that costs least to reach (then the one with most rows),
     else the reading of its initials, else a more frequent list of which it
     lacks one word, else a list that no one wrote but that at
@@ -233,8 +295,8 @@ def links(names: DataFrame) -> DataFrame:
     tables.
     """
     spark = names.sparkSession
-    w = words_of(F.col("name"))
-    named = Table(names.select("name", "n", w.alias("words"), F.array_join(F.array_sort(w), " ").alias("sig")), "names")
+    w = words_of(F.col("core"))
+    named = Table(without_seats(Table(names, "spellings").df).select("name", "n", w.alias("words"), F.array_join(F.array_sort(w), " ").alias("sig")), "names")
     sigs = Table(named.df.groupBy("sig").agg(F.sum("n").alias("n"), F.max(F.struct("n", "words")).alias("m")).select("sig", "n", F.col("m.words").alias("words")), "sigs").df
     words = Table(sigs.select(F.explode("words").alias("word"), "n").groupBy("word").agg(F.sum("n").alias("w")), "words").df
     total = words.agg(F.sum("w")).first()[0] or 0
@@ -273,9 +335,14 @@ def links(names: DataFrame) -> DataFrame:
     return named.df.select("name", "sig").join(roots, "sig", "left").select("name", F.coalesce("root", "sig").alias("root"))
 
 
+def _links(df: DataFrame, column: str) -> DataFrame:
+    with scratch():
+        return Table(links(spellings(df, column)), "links", keep=True).df
+
+
 def linked(df: DataFrame, column: str) -> DataFrame:
     """(name, root, n_links): one row per spelling with its class and how many other spellings it has."""
-    got = Table(links(spellings(df, column)), "links").df
+    got = _links(df, column)
     size = got.groupBy("root").agg((F.count(F.lit(1)) - 1).cast("bigint").alias("n_links"))
     return got.join(size, "root").select("name", "root", "n_links")
 
@@ -286,6 +353,9 @@ def pairs(df: DataFrame, column: str) -> DataFrame:
     Nulls and names without letter or digit take no part; repeated rows count
     once; an empty table gives no pairs.
     """
-    got = Table(links(spellings(df, column)), "links").df
-    a, b = got.select("root", F.col("name").alias("name_a")), got.select("root", F.col("name").alias("name_b"))
-    return a.join(b, "root").where("name_a < name_b").select("name_a", "name_b")
+    got = _links(df, column)
+    size = got.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / ROOT_NAMES).cast("int").alias("c")).where("c > 1")  # roots with many spellings meet part by part
+    got = got.join(size, "root", "left").withColumn("c", F.coalesce("c", F.lit(1)))
+    a = got.select("root", F.col("name").alias("name_a"), F.pmod(F.xxhash64("name"), F.col("c")).cast("int").alias("part"))
+    b = got.select("root", F.col("name").alias("name_b"), F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("part"))
+    return a.join(b, ["root", "part"]).where("name_a < name_b").select("name_a", "name_b")
