@@ -22,6 +22,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ WIDTHS = (24, 12, 6, 4)  # words of a passage; an item is searched by the widest
 ITEMS, ITEM_WORDS = 4000, 1_000_000  # items, and their words, that are searched in one pass; more are searched in blocks
 BATCH_WORDS = 1 << 17  # words whose passages are taken at once; longer texts are cut into overlapping parts
 LIST_ITEMS = 64  # item passages of an inverted list, on average
+GRAM_WORDS, SIEVE = 1 << 20, np.uint64((1 << 20) - 1)  # words in which runs are sought at once; bits by which a run is looked up first
 LEAST_LISTS, FAR = 2, 0.1  # lists probed in any case; the quantile of a list's members, by nearness to its centre, that stands for the farther ones
 SLICES = 16  # in which partial sums of the decomposition are added up
 MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|&(?:[A-Za-z]{2,8}|#\d{1,6}|#x[0-9A-Fa-f]{1,6});|[\u00ad\u200b-\u200d\u2060\ufeff]")
@@ -224,19 +226,17 @@ def aligned(item: np.ndarray, doc: np.ndarray, shift: int) -> bool:
     n = len(item)
     need = -(-n // PART)
     band = max(BAND, need // DIFFER + 1)
-    runs: list[tuple[int, int, int]] = []  # item start, doc start, length
-    near = np.zeros(n, bool)
-    for s in range(shift - band, shift + band + 1):
-        lo, hi = max(0, -s), min(n, len(doc) - s)
-        if hi <= lo:
-            continue
-        same = item[lo:hi] == doc[lo + s : hi + s]
-        near[lo:hi] |= same
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
-        runs += [(lo + a, lo + a + s, b - a) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()) if b - a >= 3 or s == shift]
-    count = np.concatenate([[0], np.cumsum(near)])
+    lo, hi = max(0, shift - band), min(len(doc), shift + n + band)
+    seg = np.full(n + 2 * band, 1 << 32, np.uint64)  # words of the document on the band; a value no word has elsewhere
+    seg[lo - shift + band : hi - shift + band] = doc[lo:hi]
+    same = sliding_window_view(seg, n) == item  # one row for each diagonal
+    count = np.concatenate([[0], np.cumsum(same.any(0))])
     if (count[need:] - count[:-need]).max(initial=0) < need - need // DIFFER - 2:
         return False
+    runs: list[tuple[int, int, int]] = []  # item start, doc start, length
+    for row, s in zip(same, range(shift - band, shift + band + 1)):
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], row.view(np.int8), [0]])))
+        runs += [(a, a + s, b - a) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()) if b - a >= 3 or s == shift]
     runs.sort()
     for f, (i0, j0, _) in enumerate(runs):
         if n - i0 < need * (DIFFER - 1) // DIFFER - 1:
@@ -312,7 +312,9 @@ class Items:
         for k, parts in by.items():
             g, i, at = (np.concatenate(x) for x in zip(*parts))
             o = np.argsort(g, kind="stable")
-            self.runs[k] = (g[o], i[o], at[o])
+            some = np.zeros(int(SIEVE) + 1, bool)
+            some[g & SIEVE] = True
+            self.runs[k] = (g[o], i[o], at[o], some)
 
     def latent(self, weighted: np.ndarray) -> dict[int, Lists]:
         """Per passage width the items of that width; their passages begin at every sixth of it, so one of them lies nearly as a document's does."""
@@ -328,19 +330,40 @@ class Items:
 
     def leaked(self, doc: np.ndarray, candidates: np.ndarray) -> list[int]:
         """Ids of the candidate items (rows, as mask) of which the document holds a stretch that counts."""
-        out = set()
-        for k, (g, item, at) in self.runs.items():
-            h = grams(doc, k)
-            lo, hi = np.searchsorted(g, h, "left"), np.searchsorted(g, h, "right")
-            for x in np.flatnonzero(hi > lo):
-                for y in range(lo[x], hi[x]):
-                    if candidates[item[y]]:
-                        out.add((int(item[y]), int(x - at[y])))
-        done: set[int] = set()
-        for i, shift in sorted(out):
-            if i not in done and aligned(self.texts[i], doc, shift):
-                done.add(i)
-        return [self.ids[i] for i in sorted(done)]
+        return [i for _, i in self.leaked_each([doc], candidates[None])]
+
+    def leaked_each(self, texts: list[np.ndarray], candidates: np.ndarray) -> list[tuple[int, int]]:
+        """(place of the text, item id) of all texts and their candidate items (texts x items, as mask)."""
+        rows = np.flatnonzero(candidates.any(1))
+        size = np.array([len(texts[r]) for r in rows], np.int64)
+        part = np.cumsum(size) // GRAM_WORDS  # texts whose runs of words are sought at once
+        out = []
+        for p in np.unique(part):
+            out += self._leaked(rows[part == p], texts, candidates)
+        return out
+
+    def _leaked(self, rows: np.ndarray, texts: list[np.ndarray], candidates: np.ndarray) -> list[tuple[int, int]]:
+        size = np.array([len(texts[r]) for r in rows], np.int64)
+        words = np.concatenate([texts[r] for r in rows])
+        owner = np.repeat(np.arange(len(rows)), size)
+        place = np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size)
+        found: set[tuple[int, int, int]] = set()
+        for k, (g, item, at, some) in self.runs.items():
+            h = grams(words, k)
+            x = np.flatnonzero(some[h & SIEVE])
+            x = x[owner[x] == owner[x + k - 1]]
+            lo, n = np.searchsorted(g, h[x], "left"), np.searchsorted(g, h[x], "right")
+            n -= lo
+            y = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            x = np.repeat(x, n)
+            keep = candidates[rows[owner[x]], item[y]]
+            x, y = x[keep], y[keep]
+            found |= set(zip(owner[x].tolist(), item[y].tolist(), (place[x] - at[y]).tolist()))
+        done: set[tuple[int, int]] = set()
+        for r, i, shift in sorted(found):
+            if (r, i) not in done and aligned(self.texts[i], texts[rows[r]], shift):
+                done.add((r, i))
+        return [(int(rows[r]), self.ids[i]) for r, i in sorted(done)]
 
 
 def leaks(docs: DataFrame, items: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -373,15 +396,12 @@ def leaks(docs: DataFrame, items: DataFrame, cosine: float = COSINE) -> DataFram
             it, weighted, lists = shared.value
             for b in batches:
                 ids, texts = b.column("doc_id").to_pylist(), _texts(b.column("w"))
-                hits: dict[int, np.ndarray] = {}
+                hits = np.zeros((len(texts), len(it.ids)), bool)
                 for width, near in lists.items():
                     for p in batches_of(texts, width // 2):
                         row, item = near.near(_unit(p.project(weighted)), cosine)
-                        for x, i in zip(p.owner[row].tolist(), item.tolist()):
-                            if x not in hits:
-                                hits[x] = np.zeros(len(it.ids), bool)
-                            hits[x][i] = True
-                got = [(ids[x], i) for x, mask in hits.items() for i in it.leaked(texts[x], mask)]
+                        hits[p.owner[row], item] = True
+                got = [(ids[x], i) for x, i in it.leaked_each(texts, hits)]
                 if got:
                     a, c = zip(*got)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["doc_id", "item_id"])
