@@ -58,6 +58,7 @@ LENGTHS = (2, 3, 4)  # of n-grams, in characters
 HASHES = 3
 PLACES = 1 << 21
 AT_HOME, LEAST_SHARE = 0.25, 0.02  # share of a language's documents against the largest share, and in itself
+SAME = 0.9  # part of a language's n-grams that are at home in a language of more documents too, above which it is that language under a wrong label
 LEAST_WORDS, LEAST_HAN = 6, 15
 ENDS = re.compile(r"[.!?](?=\s|$)|[。！？]|\n[^\S\n]*\n")
 #: A line that is a field, such as ``Agency: ...`` or ``key=value; key=value``, is no part of a sentence.
@@ -182,7 +183,9 @@ def fit(docs: DataFrame) -> Filter:
 
     seen = few.mapInPandas(run, "code string, h bigint, n bigint").groupBy("code", "h").agg(F.sum("n").alias("n"))
     sizes = {r[0]: r[1] for r in ids.groupBy("code").count().collect()}
-    langs = sorted(sizes)[:64]
+    langs = sorted(sizes)
+    if len(langs) > 64:
+        raise ValueError(f"{len(langs)} languages don't fit in a filter of 64 slices")
     share = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(1.0 / v))]) if sizes else F.lit(None)
     if not langs:
         return Filter([], np.zeros(0, np.uint64), np.zeros(0, np.uint64))
@@ -192,7 +195,14 @@ def fit(docs: DataFrame) -> Filter:
     home = F.filter("all", lambda e: (e["s"] >= AT_HOME * F.col("top")) & (e["s"] >= LEAST_SHARE))
     mask = F.aggregate(home, F.lit(0).cast("bigint"), lambda m, e: m.bitwiseOR(F.expr("shiftleft(1L, 0)") * F.pow(F.lit(2.0), bit[e["code"]]).cast("bigint")))
     got = kept.select("h", mask.alias("mask")).where("mask <> 0").toArrow()  # bounded by the sample
-    return Filter(langs, got.column("h").to_numpy().view(np.uint64), got.column("mask").to_numpy().view(np.uint64))
+    hashes, masks = got.column("h").to_numpy().view(np.uint64), got.column("mask").to_numpy().view(np.uint64)
+    bits = (masks[:, None] >> np.arange(len(langs), dtype=np.uint64)) & np.uint64(1)
+    shared = bits.T.astype(np.float32) @ bits.astype(np.float32)
+    part = shared / np.maximum(np.diag(shared), 1)[:, None]
+    more = np.array([[sizes[m] > sizes[k] for m in langs] for k in langs])
+    keep = ~((part >= SAME) & more).any(1)  # else the label is wrong on all its documents, they are in the other language
+    masks = (bits[:, keep] << np.arange(keep.sum(), dtype=np.uint64)).sum(1, dtype=np.uint64)
+    return Filter([k for k, ok in zip(langs, keep) if ok], hashes[masks > 0], masks[masks > 0])
 
 
 def segments(docs: DataFrame, model: Filter | None = None) -> DataFrame:
