@@ -76,18 +76,18 @@ def best_edges(edges: DataFrame, k: int) -> DataFrame:
 
 
 def descend(graph: DataFrame, reps: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """One round of neighbour descent.
+    """One round of neighbour descent on edges (a, b, s, new).
 
     Around each vertex meet its k neighbours and its REVERSE best incoming
     ones, so a hub's join is as small as any other's; the limit on incoming
-    edges acts before the shuffle.
+    edges acts before the shuffle. Two that are both old there have met before.
     """
     w = W.partitionBy("b").orderBy(F.desc("s"), "a")
-    back = graph.withColumn("r", F.row_number().over(w)).where(F.col("r") <= REVERSE).select(F.col("b").alias("v"), F.col("a").alias("u"))
-    meet = graph.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(back).distinct()
+    back = graph.withColumn("r", F.row_number().over(w)).where(F.col("r") <= REVERSE).select(F.col("b").alias("v"), F.col("a").alias("u"), "new")
+    meet = graph.select(F.col("a").alias("v"), F.col("b").alias("u"), "new").unionByName(back).groupBy("v", "u").agg(F.max("new").alias("new"))
     floor = graph.groupBy("a").agg(F.min("s").alias("floor"), F.count(F.lit(1)).alias("n")).select(F.col("a").alias("u"), F.when(F.col("n") < k, F.lit(-2.0)).otherwise(F.col("floor")).cast("float").alias("floor"))
     who = reps.select(F.col("rep").alias("u"), "code").join(floor, "u", "left")
-    around = meet.join(who, "u").groupBy("v").agg(F.collect_list(F.struct("u", "floor", "code")).alias("m"))
+    around = meet.join(who, "u").groupBy("v").agg(F.collect_list(F.struct("u", "floor", "new", "code")).alias("m")).where(F.exists("m", lambda e: e["new"]))
 
     def introduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -97,6 +97,7 @@ def descend(graph: DataFrame, reps: DataFrame, k: int = NEIGHBOURS) -> DataFrame
                 continue
             ids = flat.field("u").to_numpy(zero_copy_only=False)
             low = np.nan_to_num(flat.field("floor").to_numpy(zero_copy_only=False).astype(np.float32), nan=-2.0)
+            fresh = flat.field("new").to_numpy(zero_copy_only=False).astype(bool)
             x = V.unit(V.codes_of(flat.field("code").to_pylist()))
             start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             out = []
@@ -110,14 +111,15 @@ def descend(graph: DataFrame, reps: DataFrame, k: int = NEIGHBOURS) -> DataFrame
                     y = x[g]
                     s = np.matmul(y, y.transpose(0, 2, 1))[:, i, j]
                     p, q = g[:, i], g[:, j]
+                    unmet = fresh[p] | fresh[q]
                     for p, q in ((p, q), (q, p)):
-                        new = s > low[p]
+                        new = unmet & (s > low[p])
                         out.append((ids[p[new]], ids[q[new]], s[new]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], names=["a", "b", "s"])
 
     found = around.select("m").mapInArrow(introduce, "a bigint, b bigint, s float").where("a <> b")
-    return best_edges(graph.withColumn("new", F.lit(False)).unionByName(found.withColumn("new", F.lit(True))), k)
+    return best_edges(graph.withColumn("new", F.lit(False)).select("a", "b", "s", "new").unionByName(found.withColumn("new", F.lit(True))), k)
 
 
 def neighbour_graph(reps: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
@@ -134,7 +136,7 @@ def neighbour_graph(reps: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     for t in seeds:
         t.drop()
     while True:
-        nxt = Table(descend(got.df.drop("new"), reps, k), "graph")
+        nxt = Table(descend(got.df, reps, k), "graph")
         got.drop()
         got = nxt
         new, edges = got.df.agg(F.count_if("new"), F.count(F.lit(1))).first()
@@ -411,3 +413,13 @@ def wrong(entries: DataFrame, clusters: DataFrame) -> DataFrame:
     """(vec_id, cluster_id) of sound entries whose stored cluster is null or not the nearest one."""
     got = mended(members(entries), clusters)
     return got.where(~F.col("stored").eqNullSafe(F.col("cluster_id"))).select("vec_id", "cluster_id")
+
+
+def checked(mine: DataFrame, clusters: DataFrame, least: float = 0.9) -> DataFrame:
+    """(entries, communities_each, together, apart): entries, communities per entry, and whether at least ``least`` of the entries are with the larger part of their nearest centroid's entries, and in a community most of which is nearest to their centroid."""
+    at = mended(mine, clusters).select("vec_id", "cluster_id").join(mine.select("vec_id", "community"), "vec_id")
+    per = Table(at.groupBy("community", "cluster_id").agg(F.count(F.lit(1)).alias("n")), "overlap").df
+    whole, pure = (per.groupBy(c).agg(F.max("n").alias("m")).agg(F.sum("m").alias(n)) for c, n in (("cluster_id", "whole"), ("community", "pure")))
+    n = mine.agg(F.countDistinct("vec_id").alias("entries"), F.count(F.lit(1)).alias("rows"))
+    one = n.crossJoin(whole).crossJoin(pure)  # one row each
+    return one.select("entries", F.ceil(F.col("rows") / F.col("entries")).cast("int").alias("communities_each"), (F.col("whole") >= least * F.col("rows")).alias("together"), (F.col("pure") >= least * F.col("rows")).alias("apart"))
