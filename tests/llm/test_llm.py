@@ -577,6 +577,28 @@ def test_languages(spark):
     assert languages.mislabelled(df.limit(0)).count() == 0
 
 
+def test_a_language_of_wrong_labels_only_is_none(spark):
+    r = random.Random(4)
+    docs = [(i, " ".join(r.choice(SENTENCES["en" if i % 2 else "zh"]) for _ in range(4)), "en" if i % 2 else "zh") for i in range(100)]
+    docs += [(200 + i, " ".join(SENTENCES["en"][i % 2 : i % 2 + 2]), "it") for i in range(6)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    assert languages.fit(df).langs == ["en", "zh"]
+    assert set(rows(languages.mislabelled(df))) == {(200 + i, "en") for i in range(6)}
+
+
+def test_hot_vectors_are_split(spark):
+    """A third of all entries are one vector, in every join on it."""
+    rng = np.random.default_rng(5)
+    hot = rng.integers(0, 256, 128)
+    df = spark.createDataFrame([entry(i, hot if i % 3 == 0 else rng.integers(0, 256, 128)) for i in range(600)], ENTRY)
+    got = {}
+    for x in nearest.neighbours(df).collect():
+        got.setdefault(x["vec_id"], []).append(x["other"])
+    assert len(got) == 600 and all(sorted(got[i]) == [j for j in range(0, 21, 3) if j != i][:5] for i in range(0, 600, 3))
+    m = communities.members(df)
+    assert m.count() == 600 and m.where("vec_id % 3 = 0").select("community").distinct().count() == 1
+
+
 def test_queries_have_names_and_columns(spark):
     from marlstone.llm.queries import QUERIES, SQL
 
