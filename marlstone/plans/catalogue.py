@@ -13,8 +13,7 @@ from marlstone.functions import fields, keys, text
 from marlstone.functions import vectors as fv
 from marlstone.operators import changelog as cl
 from marlstone.operators import exact, rowsets, scans, search
-from marlstone.plans import skew_queries
-from marlstone.plans.engine import Engine
+from marlstone.plans import engine_queries, skew_queries
 from marlstone.plans.schema import Attribute, DocSchema, Index, KvSchema
 from marlstone.predicate import compile_predicate, match
 from marlstone.predicate.syntax import Between
@@ -23,8 +22,8 @@ from marlstone.sources import centroids, jsonl
 from marlstone.sources.embedder import embed_column, hash_embedder
 from marlstone.streaming import queue
 
-QUERIES = {**skew_queries.QUERIES}
-SQL = {**skew_queries.SQL}
+QUERIES = {**skew_queries.QUERIES, **engine_queries.QUERIES}
+SQL = {**skew_queries.SQL, **engine_queries.SQL}
 
 
 def query(sql: str | None = None):
@@ -253,14 +252,10 @@ def log_counters(spark, d):
 # Index statistics and row-id sets
 
 
-def _engine(spark, **named):
-    return Engine(spark, f"{shared_dir(spark)}/engine-{uuid.uuid4().hex[:8]}", **named)
-
-
 @query("SELECT count(DISTINCT o_orderkey) AS n FROM orders")
 def row_count(spark, d):
     """All orders put into a key-value store twice, and the rows it counts."""
-    e = _engine(spark)
+    e = engine_queries.engine(spark)
     e.create_store(KvSchema("orders", "int", "str"))
     for _ in range(2):
         e.put_values("orders", read_table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("value")))
@@ -270,7 +265,7 @@ def row_count(spark, d):
 @query("SELECT doc_id, source FROM documents WHERE source = 'notice-board' ORDER BY doc_id LIMIT 20 OFFSET 20")
 def document_query(spark, d):
     """Documents put into a store, and the second page of a predicate over them."""
-    e = _engine(spark)
+    e = engine_queries.engine(spark)
     e.create_store(DocSchema("docs", "u64", (), (Index("source", "str"),)))
     docs = read_table(spark, d, "documents").where("doc_id is not null")
     e.put_documents("docs", docs.select(keys.u64_column(F.col("doc_id")).alias("key"), F.to_json(F.struct("doc_id", "source")).alias("doc")))
@@ -708,7 +703,7 @@ _STEPS = {
 )
 def schema_round_trip(spark, d):
     """A store's schema through its amendments, exported after each: (step, schema)."""
-    e = _engine(spark)
+    e = engine_queries.engine(spark)
     e.create_store(DocSchema("jobs", "u64", (Attribute("jobTitle", "str"),), (Index("agency", "str"),)))
     out = [("start", e.export_schema("jobs"))]
     for step, change in (("drop_index", ("drop_index", "agency")), ("add_index", ("add_index", "agency", "str")), ("embed", ("add_embedding_attribute", "summary"))):

@@ -434,6 +434,10 @@ class Engine:
         kind = self.doc_schema(ns).key_type
         return {"results": [{"id": keys.key_json(kind, r["key"]), "document": json.loads(r["doc"])} for r in page.rows], "next_cursor": keys.to_cursor(page.next_cursor) if page.next_cursor is not None else None}
 
+    def keys(self, ns: str) -> DataFrame:
+        """(key) of all live rows, in order."""
+        return cl.live(self.log(ns).select("key", "seq", "op")).select("key").orderBy("key")
+
     def query_frame(self, ns: str, predicate: str) -> DataFrame:
         """Matching rows; the predicate is checked before anything is read, and the latest version of a row decides."""
         s = self.doc_schema(ns)
@@ -540,6 +544,11 @@ class Engine:
         ms = int(time.time() * 1000) if epoch_ms is None else epoch_ms
         self._append(s, self.spark.createDataFrame([(bytearray(key), self._seq(), ms, cl.PUT, bytearray(value))], self._log_schema(s)))
 
+    def raw_put_rows(self, ns: str, rows: DataFrame) -> None:
+        """Upsert (key, value, epoch_ms); keys must be unique."""
+        s = self.raw_schema(ns)
+        self._append(s, rows.select("key", F.lit(self._seq()).alias("seq"), F.col("epoch_ms").cast("bigint").alias("epoch_ms"), F.lit(cl.PUT).alias("op"), "value"))
+
     def raw_get(self, ns: str, key: bytes) -> bytes | None:
         self.raw_schema(ns)
         got = cl.live(scans.point_get(self.log(ns), "key", bytearray(key))).select("value").collect()
