@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK_ROWS, BLOCK_QUERIES = 16_384, 1024
+BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
 
 #: (rows, query vectors) to a matrix of scores; -inf where a row isn't to count.
 Score = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
@@ -63,11 +63,10 @@ def best_each(rows: DataFrame, queries: DataFrame, score: Score, k: int) -> Data
         total = np.add.reduceat(np.where(hit, best[~cut], 0.0), start, axis=1)
         total = np.where(np.add.reduceat(hit, start, axis=1, dtype=np.int64) > 0, total, -np.inf)
         docs, ids = docs[~cut], ids[start]
-        for j in range(len(ids)) if len(docs) else ():
-            v = total[:, j]
-            least = np.partition(v, len(v) - k)[len(v) - k] if len(v) > k else -np.inf
-            i = np.flatnonzero((v >= least) & np.isfinite(v))
-            out.append(pd.DataFrame({"query_id": ids[j], "chunk": None, "doc": docs[i], "score": v[i]}).astype({"chunk": "Int32"}))
+        if len(docs):
+            least = np.partition(total, len(docs) - k, axis=0)[len(docs) - k] if len(docs) > k else np.full(len(ids), -np.inf)
+            i, j = np.nonzero((total >= least) & np.isfinite(total))
+            out.append(pd.DataFrame({"query_id": ids[j], "chunk": None, "doc": docs[i], "score": total[i, j]}).astype({"chunk": "Int32"}))
         return pd.concat(out) if out else none
 
     got = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(run, f"query_id bigint, chunk int, doc {kind}, score double")
