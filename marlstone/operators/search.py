@@ -8,7 +8,7 @@ multi-bit code of the whole document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +32,10 @@ def typed(schema: str, df: DataFrame) -> str:
     return schema.replace("doc_id bigint", f"doc_id {df.schema['doc_id'].dataType.simpleString()}")
 
 
+#: (codes, bits, add, scale, query, dot products of the query with each row's centroid) to estimated dot products.
+Estimator = Callable[[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
 @dataclass(frozen=True)
 class Config:
     dimension: int = 768
@@ -148,8 +152,8 @@ def first_pass(entries: DataFrame, clusters: Clusters, q: np.ndarray, config: Co
     return scored.groupBy("doc_id", "chunk").agg(F.max("s").alias("s")).groupBy("doc_id").agg(F.sum("s").alias("score"))
 
 
-def second_pass(entries: DataFrame, clusters: Clusters, q: np.ndarray, candidates: DataFrame, config: Config) -> DataFrame:
-    """(doc_id, dot_product, error_bound) of candidates whose document has exactly one dense entry, and that a sound one."""
+def second_pass(entries: DataFrame, clusters: Clusters, q: np.ndarray, candidates: DataFrame, config: Config, estimator: Estimator = rabitq.estimate) -> DataFrame:
+    """(doc_id, dot_product, error_bound) of candidates whose document has exactly one dense entry, and that a sound one; ``estimator`` may take the place of the usual estimate."""
     q = np.asarray(q, np.float64)
     dense = entries.where("part = 0").join(candidates.select("doc_id"), "doc_id", "left_semi")
     single = dense.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
@@ -160,7 +164,7 @@ def second_pass(entries: DataFrame, clusters: Clusters, q: np.ndarray, candidate
         for pdf in batches:
             codes = np.frombuffer(b"".join(pdf["code"]), np.uint8).reshape(len(pdf), -1).astype(np.float64)
             base = np.array([near[c] for c in pdf["cluster_id"]])
-            dot = rabitq.estimate(codes, config.dense_bits, pdf["add"].to_numpy(), pdf["scale"].to_numpy(), q, base) if len(pdf) else []
+            dot = estimator(codes, config.dense_bits, pdf["add"].to_numpy(), pdf["scale"].to_numpy(), q, base) if len(pdf) else []
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "dot_product": dot, "error_bound": pdf["err"]})
 
     return good.select("doc_id", "cluster_id", "add", "scale", "err", "code").mapInPandas(run, typed("doc_id bigint, dot_product double, error_bound double", entries))

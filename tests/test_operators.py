@@ -177,6 +177,8 @@ def test_search_sums_the_best_chunks(spark):
     only = spark.createDataFrame([(2,)], "doc_id bigint")
     assert [h["doc_id"] for h in search.search(e, c, q, q[0], config, only).collect()] == [2]
     assert search.search(e, c, q, q[0], config, top_k=0).count() == 0 and search.search(e, c, q[:, :3], q[0], config).count() == 0 and search.search(e, c, np.zeros((0, 4)), q[0], config).count() == 0
+    plain = search.second_pass(e, c, q[0], only, config, lambda codes, bits, add, scale, q, base: base).collect()
+    assert [(r["doc_id"], r["dot_product"]) for r in plain] == [(2, 0.0)]  # another estimator: the centroid alone
     twice = e.unionByName(e.where("doc_id = 1 and part = 0"))
     assert [h["doc_id"] for h in search.search(twice, c, q, q[0], config).collect()] == [2]
     broken = e.withColumn("code", F.when(F.col("doc_id") == 2, F.lit(None)).otherwise(F.col("code")))
