@@ -26,6 +26,7 @@ from marlstone.runtime import Table, hot_rows, join_hot, scratch
 
 NEIGHBOURS = 8  # kept for each vertex during the descent
 REVERSE = 8  # best incoming edges that take part in a local join; more are left to the other end
+MEETINGS = 2048  # vertices around which neighbours meet at once
 GRAPH = 6  # best neighbours that become edges
 SEEDS = 3  # independent partitions the descent begins from; they link each other's blocks
 CHANGED = 0.005  # the descent ends with a round in which a smaller share of the edges is new
@@ -90,8 +91,7 @@ def descend(graph: DataFrame, reps: DataFrame, k: int = NEIGHBOURS) -> DataFrame
     around = meet.join(who, "u").groupBy("v").agg(F.collect_list(F.struct("u", "floor", "new", "code")).alias("m")).where(F.exists("m", lambda e: e["new"]))
 
     def introduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            m = b.column("m")
+        for m in (b.column("m").slice(at, MEETINGS) for b in batches for at in range(0, b.num_rows, MEETINGS)):
             flat, sizes = m.flatten(), np.diff(m.offsets.to_numpy())
             if not len(flat):
                 continue
