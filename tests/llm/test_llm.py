@@ -5,15 +5,19 @@ import json
 import os
 import random
 import re
+import threading
+import time
 from datetime import datetime as D
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from marlstone.llm import communities, copies, languages, leaks, nearest, packing, pieces, spellings
 from marlstone.llm import vectors as V
+from marlstone.runtime import shared_dir
 
 
 def rows(df):
@@ -76,6 +80,77 @@ def test_neighbours_over_many_lists(cloud, monkeypatch):
     assert len(want & got) >= 0.9 * len(want)
 
 
+def test_neighbours_keep_the_disk_small(spark, tmp_path, monkeypatch):
+    """A round cloud, in which every vector probes every list: tables, shuffles and what is sent stay under four times the input."""
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((6000, 128))
+    codes = np.clip(np.round(127.5 + 40 * v), 0, 255)
+    spark.createDataFrame([entry(i, c)[:5] for i, c in enumerate(codes)], ENTRY.split(", rep")[0]).coalesce(1).write.parquet(f"{tmp_path}/in")
+    df = spark.read.parquet(f"{tmp_path}/in")
+    places = [*spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString(), spark.sparkContext._temp_dir, shared_dir(spark).removeprefix("file://")]
+
+    def used(folders):
+        total = 0
+        for top in folders:
+            for folder, _, files in os.walk(top):
+                for f in files:
+                    try:
+                        total += os.path.getsize(f"{folder}/{f}")
+                    except OSError:  # deleted meanwhile
+                        pass
+        return total
+
+    monkeypatch.setattr(nearest, "ROUND_ROWS", 1000, raising=False)
+    monkeypatch.setattr(nearest, "TURNS", 4, raising=False)  # six rounds share four bits
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(2)
+    before, seen, over = used(places), [], threading.Event()
+
+    def watch():
+        while not over.wait(0.02):
+            seen.append(used(places))
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    nearest.neighbours(df).write.parquet(f"{tmp_path}/out")
+    over.set()
+    watcher.join()
+    assert max(seen) - before <= 4 * used([f"{tmp_path}/in"])
+    got = rows(spark.read.parquet(f"{tmp_path}/out"))
+    monkeypatch.undo()
+    assert got == rows(nearest.neighbours(df))
+    x = codes - 127.5
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    cos = x @ x.T
+    np.fill_diagonal(cos, -2)
+    want = {(i, int(j)) for i, near in enumerate(np.argsort(-cos, axis=1)[:, :5]) for j in near}
+    assert len(want & {(r[0], r[2]) for r in got}) >= 0.95 * len(want)
+
+
+def test_rounds_cover_every_block_once():
+    size, blocks = np.array([10, 0, 30, 5, 0]), np.array([1, 1, 3, 1, 1])
+    assert nearest.rounds_of(size, blocks, 20) == [(0, 3, 0, 2), (3, 5, 2, 2), (5, 7, 3, 4)]
+    assert nearest.rounds_of(size, blocks, 1000) == [(0, 7, 0, 4)] and nearest.rounds_of(np.zeros(1, int), np.ones(1, int), 20) == [(0, 1, 0, 0)]
+
+
+def test_a_probe_keeps_the_best_of_many(monkeypatch):
+    rng = np.random.default_rng(4)
+    raw, mine = rng.integers(0, 256, (300, 128)).astype(np.uint8), rng.integers(0, 256, (50, 128)).astype(np.uint8)
+    none = [[] for _ in mine]
+    kinds = {"rep": pa.int64(), "code": pa.binary(), "block": pa.int32(), "floor": pa.float32(), "near": pa.list_(pa.int32()), "ids": pa.list_(pa.int64()), "dots": pa.list_(pa.int32()), "coss": pa.list_(pa.float64())}
+    values = [range(1000, 1050), [c.tobytes() for c in mine], [9] * 50, [-1.0] * 50, [[4, 5]] * 50, none, none, none]
+    t = pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(values, kinds.values())], names=list(kinds))
+    block = np.repeat([7, 8, 10], 100)  # block 9 is their own
+    got = []
+    for most in (10, 10**6):
+        monkeypatch.setattr(nearest, "FOLD_ROWS", most)
+        out = nearest._probe(t, block, np.arange(300), raw, V.unit(V.codes_of([c.tobytes() for c in raw[:2]])), np.array([200, 100]), np.ones(2, np.float32), np.ones(2, np.float32), np.array([0, 0, 1, 1]), 4, V.rotation(), 5)
+        got.append(out.to_pydict())
+    assert got[0] == got[1]
+    cos = V.unit(mine.astype(np.int16) * 2 - 255) @ V.unit(raw.astype(np.int16) * 2 - 255).T
+    assert sum(len(set(a) & set(b)) for a, b in zip(got[0]["ids"], np.argsort(-cos, axis=1)[:, :5].tolist())) == 250
+
+
 def test_adaptive_scan_loses_little():
     rng = np.random.default_rng(0)
     q, x = rng.standard_normal((200, 128)), rng.standard_normal((3000, 128))
